@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from inkmill.llm._shared import hash_order, held_out, small_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 192, 1000, 512
-PIECE, LEVEL, MIN_MARGIN = 8192, 1, 0.01
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 192, 600, 512
+PIECE, LEVEL, MIN_MARGIN = 1024, 6, 0.01
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -40,7 +40,7 @@ def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str
     n = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
     drawn = known.where(F.pmod(hash_order("doc_id", 2), n) < sample_docs)
     rows = (
-        drawn.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), hash_order("doc_id", 3).alias("at"))
+        drawn.select("lang", F.substring(F.lower("text"), 1, SAMPLE_CHARS).alias("text"), hash_order("doc_id", 3).alias("at"))
         .orderBy("at", "text")
         .limit(3 * sample_docs * len(counts))
         .collect()
@@ -68,7 +68,7 @@ class Classifier:
         """The language, the score and whether the margin is wide enough."""
         if not self.names or text is None or not LETTER.search(text):
             return UNKNOWN, 0.0, False
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         sizes = [sum(len(p.compress(x)) for x in pieces) for p in self.packers]
         best = min(range(len(sizes)), key=sizes.__getitem__)
