@@ -9,10 +9,10 @@ documents alone.
     file: magic 8 bytes | sha256 of the dictionary 32 bytes | width of an id 1 byte | packed documents
           | index: doc_id, has_id, offset, length, n_tokens as arrays of 64-bit integers | n documents 8 bytes | magic
 
-Encoding: a text is cut before a space or line end that follows a letter, digit or ASCII sign. There the
-tokenizer's own pre-tokenizer cuts too, so equal pieces have equal ids wherever they stand; each worker
-encodes a piece once and remembers it. Texts with other white space, or with a special token's string,
-are encoded whole.
+Encoding: a text is cut before white space that follows something else. There the tokenizer's own
+pre-tokenizer cuts too, so equal pieces have equal ids wherever they stand; each worker encodes a piece
+once and remembers it. A piece of Latin letters and ASCII signs goes to the library's BPE model word by
+word, any other to its whole tokenizer; texts with a special token's string are encoded whole.
 
 Defined results: a null text counts as empty; each document ends with id 0; a null doc_id comes first;
 rows of one doc_id follow in the order of a hash of their text; an empty table writes no files and gives
@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,61 +44,103 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
 #: A file is closed when it has this many bytes; so much of it is in memory at most, and one document.
 FILE_BYTES = 32 << 20
 DOCS_IN_RANGE = 20_000
-CACHE_PIECES, PIECES_AT_ONCE = 250_000, 2000
-ODD_SPACE = re.compile(r"[^!-~\w][ \n]|^[ \n]{2}")
+CACHE_PIECES = 400_000
+#: White space and what follows it up to the next; signs that count as white space here but not to all libraries.
+PIECES, OUTSIDE = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return [letters[b] for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+_LETTERS, _SIGNS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-/:-@\[-`{-~]+"
+#: A line end, a word of Latin letters and ASCII signs: the parts that the pre-tokenizer sees in most pieces.
+SIMPLE = re.compile(f"(\n?)(?:( ?{_LETTERS})({_SIGNS})?|( ?{_SIGNS}))")
 
 
 class Encoder:
-    """Ids of texts as packed little-endian integers, by a tokenizer of the tokenizers library."""
+    """Ids of texts as packed little-endian integers, by a byte-level BPE of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.kind = np.dtype(f"<u{self.width}")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
-        self.end = np.array([END_ID], self.kind).tobytes()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of what follows a space, of whole pieces, and of the pre-tokenizer's words.
+        self.spaced: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.end = self._packed([END_ID])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces many at a time: set behind one another they keep their bounds."""
-        alone = [p for p in pieces if not p or p[0] not in " \n" or p[-1].isspace() or len(p) > 1000]
-        together = [p for p in pieces if p and p[0] in " \n" and not p[-1].isspace() and len(p) <= 1000]
-        for p in alone:
-            self.known[p] = self.whole(p)
-        for at in range(0, len(together), PIECES_AT_ONCE):
-            some = together[at : at + PIECES_AT_ONCE]
-            encoded = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, self.kind)
-            starts = np.array([o[0] for o in encoded.offsets], np.int64)
-            bounds = np.searchsorted(starts, np.cumsum([0, *map(len, some)]))
-            data = ids.tobytes()
-            for p, a, b in zip(some, (bounds[:-1] * self.width).tolist(), (bounds[1:] * self.width).tolist()):
-                self.known[p] = data[a:b]
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        if (found := self.words.get(word)) is None:
+            letters = "".join([BYTE_LETTERS[b] for b in word.encode()])
+            found = self.words[word] = self._packed([t.id for t in self.model.tokenize(letters)])
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        parts = SIMPLE.fullmatch(piece)
+        if parts is None:
+            return self.whole(piece)
+        return b"".join([self._word(p) for p in parts.groups() if p])
+
+    def _odd(self, text: str) -> bytes:
+        """Of a text with runs of white space, or with other than spaces and line ends."""
+        if OUTSIDE.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        out = []
+        for piece in PIECES.findall(text):
+            if (found := self.pieces.get(piece)) is None:
+                found = self.pieces[piece] = self._piece(piece)
+            out.append(found)
+        return b"".join(out)
+
+    def _even(self, text: str) -> list[str] | None:
+        """What stands between single spaces, line ends with what follows them; None for other texts."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(s in text for s in self.special):
+            return None
+        # white space of any other kind would make for more words than there are spaces and line ends
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return None
+        return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id."""
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        cut_up: list[list[str] | None] = []
-        for text in texts:
+        for cache in (self.spaced, self.pieces, self.words):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        cut_up = [self._even(t) if t else [] for t in texts]
+        firsts = [pieces.pop(0) if pieces else None for pieces in cut_up]
+        spaced = self.spaced
+        for p in set().union(*[x for x in cut_up if x]).difference(spaced):
+            spaced[p] = self._piece(p if p[:1] == "\n" else " " + p)
+        known = spaced.__getitem__
+        out = []
+        for text, first, pieces in zip(texts, firsts, cut_up):
             if not text:
-                cut_up.append([])
-            elif ODD_SPACE.search(text) or (self.special and self.special.search(text)):
-                cut_up.append(None)
+                out.append(self.end)
+            elif pieces is None:
+                out.append(self._odd(text) + self.end)
             else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                cut_up.append([first, *[p if p[:1] == "\n" else " " + p for p in rest]])
-        known = self.known
-        new = {p for pieces in cut_up if pieces for p in pieces if p not in known}
-        if new:
-            self._learn(sorted(new))
-        return [(self.whole(t) if pieces is None else b"".join(map(known.__getitem__, pieces))) + self.end for t, pieces in zip(texts, cut_up)]
+                out.append(self._piece(first) + b"".join(map(known, pieces)) + self.end)
+        return out
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
