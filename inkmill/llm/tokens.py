@@ -43,7 +43,7 @@ END_ID = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
 #: A file is closed when it has this many bytes; so much of it is in memory at most, and one document.
 FILE_BYTES = 32 << 20
-DOCS_IN_RANGE = 20_000
+DOCS_IN_RANGE, MOST_READERS = 20_000, 20_000
 CACHE_PIECES = 400_000
 #: White space and what follows it up to the next; signs that count as white space here but not to all libraries.
 PIECES, OUTSIDE = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
@@ -296,7 +296,9 @@ def read_tokens(spark: SparkSession, files: DataFrame, folder: str, dictionary:
                     [pa.array(file.doc_id, pa.int64(), mask=file.has_id == 0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    return files.select("name", "first").repartition("name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each few files: by their number, as the rows are too small to be dealt by size
+    tasks = max(1, min(files.count(), MOST_READERS))
+    return files.select("name", "first").repartition(tasks, "name").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6(docs: DataFrame, tokenizer_path: str) -> DataFrame:
