@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from inkmill.operators.offsets import running
 
 
+#: Documents in a range of the running total: fewer than where only lengths are summed.
+ROWS_IN_RANGE = 5000
+
+
 def check(n: int, stride: int) -> None:
     if n <= 0 or stride <= 0:
         raise ValueError("window length and stride must be positive")
@@ -30,11 +34,11 @@ def windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int | None =
     if stride > n:
         return _sparse_windows(docs, key, tokens, n, stride, by)
     by = list(by)
-    sized = docs.select(*by, key, F.size(tokens).cast("long").alias("len"))
-    placed = running(sized, key, "len", "at", by)
+    sized = docs.select(*by, key, F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("len"))
+    # tokens go along to their range, so they are shuffled once
+    placed = running(sized, key, "len", "at", by, ROWS_IN_RANGE)
     totals = sized.groupBy(*by).agg(F.sum("len").alias("total"))
-    placed = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
-    met = docs.select(*by, key, F.col(tokens).alias("tokens")).join(placed, [*by, key])
+    met = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
     first = F.greatest(F.floor((F.col("at") - n) / stride) + 1, F.lit(0))
     last = F.least(F.floor((F.col("at") + F.col("len") - 1) / stride), F.floor((F.col("total") - n) / stride))
 
