@@ -18,17 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset, as in local tests, a folder of this machine is made.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='inkmill-')}")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='inkmill-')}")
+    # Spark gives it with its file system, and a folder of this application's own in it
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

@@ -306,5 +306,4 @@ def op6(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_path)
     folder = new_folder(spark, "tokens")
-    folder = folder if "://" in folder else f"file://{folder}"
     return read_tokens(spark, write_tokens(docs, tokenizer_path, folder, dictionary), folder, dictionary)
