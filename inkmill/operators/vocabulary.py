@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,23 +114,25 @@ def pieces_of(word: str, known: frozenset[str], unknown: str = UNK, most: int =
 
 
 def word_pieces(docs: DataFrame, tokens: str, known: Sequence[str], out: str = "pieces") -> DataFrame:
-    """docs with each token cut into word pieces; a worker cuts a word once and remembers it."""
+    """docs with each token cut into word pieces; a batch's words are told apart before any is cut."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(known))
 
-    @F.pandas_udf("array<string>")
-    def cut(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, seen = shared.value, {}
-        for column in series:
+        for arrays in batches:
+            if len(seen) > 500_000:
+                seen.clear()
+            words = arrays.flatten().dictionary_encode()
             rows = []
-            for words in column:
-                if len(seen) > 500_000:
-                    seen.clear()
-                row: list[str] = []
-                for w in [] if words is None else words:
-                    if (found := seen.get(w)) is None:
-                        found = seen[w] = pieces_of(w, vocabulary)
-                    row += found
-                rows.append(row)
-            yield pd.Series(rows)
+            for w in words.dictionary.to_pylist():
+                if (found := seen.get(w)) is None:
+                    found = seen[w] = pieces_of(w, vocabulary)
+                rows.append(found)
+            each = pa.array(rows, pa.list_(pa.string())).take(words.indices)
+            # pieces before each word, and so before each document
+            before = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(each), 0).to_numpy(zero_copy_only=False))]
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False))]
+            yield pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), each.flatten())
 
     return docs.withColumn(out, cut(tokens))

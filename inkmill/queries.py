@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -508,7 +509,7 @@ def q_stream_pack(spark, sf_dir):
     from inkmill.streaming import packing as stream
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}" if shared else f"file://{tempfile.mkdtemp(prefix='inkmill-stream-')}"
+    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='inkmill-stream-')}"
     per = 50
     # a file holds many documents, set apart by a sign; rows of one task keep their order
     placed = offsets.numbered(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "at")
