@@ -189,7 +189,8 @@ class Mixture:
 
     def mixed(self) -> DataFrame:
         """Each slot with the parts of its block: shard, slot, rank, round, block, start, doc_id, tie, word, n_words."""
-        return self.slot_table().join(self.block_table(), ["rank", "block"])
+        # Spark takes what Python makes of a short range for a small table and would broadcast all slots
+        return self.slot_table().hint("merge").join(self.block_table(), ["rank", "block"])
 
 
 def op9(docs: DataFrame) -> DataFrame:
