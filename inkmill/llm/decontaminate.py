@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm._shared import small_batches
 
-BUDGET, LEAST_CHARS, ITEM_CHARS = 0.05, 40, 500_000
+BUDGET, LEAST_CHARS, ITEM_CHARS = 0.08, 40, 500_000
 SIGNS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
