@@ -34,9 +34,9 @@ CROWD, MOST_NODES = 512, 4096
 
 
 def sketch(text: str | None) -> tuple[list[int], bytes]:
-    """(keys, the least hash of each bin in 16 bits, 0 for an empty bin)."""
+    """(keys, the least hash of each bin in 8 bits, 0 for an empty bin)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    least = np.zeros(BINS, "<u2")
+    least = np.zeros(BINS, np.uint8)
     if not words:
         return [], least.tobytes()
     n = max(1, len(words) - WORDS + 1)
@@ -47,7 +47,7 @@ def sketch(text: str | None) -> tuple[list[int], bytes]:
     width = 64 - BINS.bit_length() + 1
     bins = (hashes >> np.uint64(width)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    least[bins[first]] = np.maximum(hashes[first] >> np.uint64(width - 16) & np.uint64(0xFFFF), 1)
+    least[bins[first]] = np.maximum(hashes[first] >> np.uint64(width - 8) & np.uint64(0xFF), 1)
     ranges = (hashes[first] >> np.uint64(64 - KEYS.bit_length() + 1)).astype(np.int64)
     keys = hashes[first][np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])]
     return keys.view(np.int64).tolist(), least.tobytes()
@@ -109,7 +109,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def linked() -> list[tuple[int, int]]:
         if len(fps) < 2:
             return []
-        return forest(fps, np.frombuffer(b"".join(packed), "<u2").reshape(len(fps), -1))
+        return forest(fps, np.frombuffer(b"".join(packed), np.uint8).reshape(len(fps), -1))
 
     def rows(out: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)

@@ -48,9 +48,9 @@ def test_sketches_estimate_similarity():
     base = [f"w{random.randrange(3000)}" for _ in range(900)]
     for n in (0, 5, 15, 40):
         a, b = " ".join(base), " ".join(varied(base, n))
-        one, two = (np.frombuffer(alike.sketch(t)[1], "<u2") for t in (a, b))
+        one, two = (np.frombuffer(alike.sketch(t)[1], np.uint8) for t in (a, b))
         assert abs(alike.agreement(one, two[None])[0] - similarity(a, b)) < 0.06
-    assert alike.sketch(None) == alike.sketch(" ") == ([], bytes(2 * alike.BINS))
+    assert alike.sketch(None) == alike.sketch(" ") == ([], bytes(alike.BINS))
     keys, _ = alike.sketch("a b c")
     assert len(keys) == 1 and alike.sketch("A  b\nC")[0] == keys
 
