@@ -83,6 +83,22 @@ def test_links_reach_all(spark, tree_nodes):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_links_meet_across_tasks(spark, tmp_path):
+    random.seed(8)
+    halves = [[], []]
+    for _ in range(200):
+        v = random.getrandbits(64)
+        halves[0].append(v)
+        halves[1].append(v ^ 1 << random.randrange(64) ^ 1 << random.randrange(64))
+    # files, so that the few shared shards are known to be small and their join is a broadcast
+    for i, half in enumerate(halves):
+        signed = np.array(half, np.uint64).astype(np.int64).tolist()
+        spark.createDataFrame([(v,) for v in signed], "fp long").coalesce(1).write.parquet(str(tmp_path / f"part={i}"))
+    found = simhash.links(spark.read.parquet(str(tmp_path)).select("fp"))
+    linked = {frozenset(np.array([r.a, r.b], np.int64).astype(np.uint64).tolist()) for r in found.collect()}
+    assert linked == {frozenset(p) for p in zip(*halves) if p[0] != p[1]}
+
+
 def test_components_of_paths(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 202), (200, 202)]
     got = {r.node: r.top for r in components.connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
