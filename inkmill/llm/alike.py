@@ -8,9 +8,11 @@ Burkhard-Keller tree of the SimHashes is followed along the edges within `RADIUS
 the sketches agree: of `BINS` ranges of hashes, the share of least hashes that are equal, `AGREE` or more
 (an estimate of the similarity, off by 0.018 at 0.8 and by less where texts have few shingles).
 
-A shard that more than `CROWD` texts share, such as all with one common passage, is divided by the other
-keys of its texts. What is still larger is linked in one pass: once its tree has `MOST_NODES` texts, those
-linked to one of them are not added.
+The texts of shards with more than `CROWD` are dealt anew by `BANDS` numbers, each made of `BAND` least hashes
+under permutations of their own: texts at 0.8 share none of them with probability (1 - 0.8**3)**16, one in
+100,000. A shard that is still larger is linked in blocks that have one text in common; unless all its texts
+are then connected, each block meets each other one. So every shard is bounded, and every text is compared
+with all others of its shards that it is not yet connected with. Shards with the same texts are one.
 
 Null, empty and wordless texts have no keys here; fewer than five words make one shingle.
 """
@@ -26,47 +28,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.llm._shared import cut, small_batches
+from inkmill.llm.components import connected_components
 from inkmill.llm.simhash import BKTree, fingerprint
 
 WORDS, KEYS, BINS, SEED = 5, 8, 512, 7
 RADIUS, AGREE = 16, 0.79
-CROWD, MOST_NODES = 512, 4096
+#: Texts in a shard, and in a block of a larger one.
+CROWD = 512
+#: Bands of texts in crowded shards, and permutations to a band.
+BANDS, BAND = 16, 3
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64)
+LINKS = "a long, b long"
 
 
-def sketch(text: str | None) -> tuple[list[int], bytes]:
-    """(keys, the least hash of each bin in 8 bits, 0 for an empty bin)."""
+def hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    least = np.zeros(BINS, np.uint8)
     if not words:
-        return [], least.tobytes()
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - WORDS + 1)
     digest = xxhash.xxh64_digest
     shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(WORDS)))) if n > 1 else [b" ".join(words)]
-    hashes = np.frombuffer(b"".join([digest(x, SEED) for x in shingles]), ">u8").astype(np.uint64)
-    hashes.sort()
-    width = 64 - BINS.bit_length() + 1
-    bins = (hashes >> np.uint64(width)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    least[bins[first]] = np.maximum(hashes[first] >> np.uint64(width - 8) & np.uint64(0xFF), 1)
-    ranges = (hashes[first] >> np.uint64(64 - KEYS.bit_length() + 1)).astype(np.int64)
-    keys = hashes[first][np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])]
-    return keys.view(np.int64).tolist(), least.tobytes()
+    return np.unique(np.frombuffer(b"".join([digest(x, SEED) for x in shingles]), ">u8").astype(np.uint64))
+
+
+def short(found: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of hashes, each once: of n shingles, a share of about n / 2**32 falls together."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
+def keys_of(found: np.ndarray) -> list[int]:
+    return found[_firsts(found >> np.uint64(64 - KEYS.bit_length() + 1))].view(np.int64).tolist()
+
+
+def sketch_of(found: np.ndarray) -> np.ndarray:
+    """Of short hashes, the least of each bin in 8 bits, 0 for an empty bin."""
+    least = np.zeros(BINS, np.uint8)
+    width = 32 - BINS.bit_length() + 1
+    bins = found >> np.uint32(width)
+    first = _firsts(bins)
+    least[bins[first]] = np.maximum(found[first] >> np.uint32(width - 8) & np.uint32(0xFF), 1)
+    return least
+
+
+def sketch(text: str | None) -> tuple[list[int], bytes]:
+    """(keys, sketch) of a text."""
+    found = hashes(text)
+    return keys_of(found), sketch_of(short(found)).tobytes()
+
+
+def bands_of(found: np.ndarray) -> list[int]:
+    """Of short hashes, one number a band: equal with probability s**BAND at similarity s."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        x = found[at : at + 4096].astype(np.uint64) ^ SALTS
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x ^= x >> np.uint64(33)
+            x *= np.uint64(m)
+        least = np.minimum(least, (x ^ x >> np.uint64(33)).min(1))
+    bands = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND))]
+    return np.array(bands, np.uint64).view(np.int64).tolist()
 
 
 def marked(docs: DataFrame, mark: Column) -> DataFrame:
-    """doc_id, fp, mark, keys and sketch of every row."""
+    """doc_id, fp, mark, keys and short hashes of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            found = [sketch(t) for t in texts]
+            found = [hashes(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints), batch.column(2), pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.binary())], names=["doc_id", "fp", "mark", "keys", "sketch"]
+                [batch.column(0), pa.array(prints), batch.column(2), pa.array([keys_of(h) for h in found], pa.list_(pa.int64())), pa.array([short(h).tobytes() for h in found], pa.binary())],
+                names=["doc_id", "fp", "mark", "keys", "shingles"],
             )
 
-    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long, keys array<bigint>, sketch binary")
+    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long, keys array<bigint>, shingles binary")
 
 
 def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -75,41 +117,30 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return both / np.maximum(((many != 0) | (one != 0)).sum(1), 1)
 
 
-def forest(fps: list[int], sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect the fingerprints of texts that are alike."""
-    tree, places, above = BKTree(), [], list(range(len(fps)))
-
-    def top(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
+def forest(fps: list[int], tops: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the fingerprints of texts that are alike; those of one top are known to be connected."""
+    sketches = np.stack([sketch_of(s) for s in sets])
+    group = np.unique(tops, return_inverse=True)[1]
+    tree = BKTree()
     for i, fp in enumerate(fps):
-        mine = top(i)
-        near = [j for k in tree.within(fp, RADIUS) if top(j := places[k]) != mine]
-        linked = False
-        if near:
-            for j in np.array(near)[agreement(sketches[i], sketches[near]) >= AGREE].tolist():
-                a, b = top(i), top(j)
-                above[max(a, b)] = min(a, b)
-                linked = True
-        if not linked or len(places) < MOST_NODES:
-            tree.add(fp)
-            places.append(i)
-    return [(fp, fps[t]) for i, fp in enumerate(fps) if (t := top(i)) != i and fps[t] != fp]
+        near = np.array([j for j in tree.within(fp, RADIUS) if group[j] != group[i]], np.int64)
+        tree.add(fp)
+        for j in near[agreement(sketches[i], sketches[near]) >= AGREE]:
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+    first = {g: fps[i] for i, g in reversed(list(enumerate(group.tolist())))}
+    return [(fp, first[g]) for fp, g in zip(fps, group.tolist()) if fp != first[g]]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, fp, sketch) in the order of key, the forests of each key."""
+    """Of rows (key, fp, top, shingles) in the order of key, the forests of each key."""
     now: int | None = None
     fps: list[int] = []
-    packed: list[bytes] = []
+    tops: list[int] = []
+    sets: list[np.ndarray] = []
 
     def linked() -> list[tuple[int, int]]:
-        if len(fps) < 2:
-            return []
-        return forest(fps, np.frombuffer(b"".join(packed), np.uint8).reshape(len(fps), -1))
+        return forest(fps, tops, sets) if len(fps) > 1 else []
 
     def rows(out: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
@@ -118,32 +149,71 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[int, int]] = []
         prints = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-        for key, fp, s in zip(batch.column(0).to_pylist(), prints, batch.column(2).to_pylist()):
+        for key, fp, top, s in zip(batch.column(0).to_pylist(), prints, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if key != now:
                 out += linked()
-                now, fps, packed = key, [], []
+                now, fps, tops, sets = key, [], [], []
             fps.append(fp)
-            packed.append(s)
+            tops.append(top)
+            sets.append(np.frombuffer(s, np.uint32))
         yield rows(out)
     yield rows(linked())
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [bands_of(np.frombuffer(s, np.uint32)) for s in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["node", "fp", "mark", "keys"])
+
+
+def _shards(places: DataFrame) -> DataFrame:
+    """key, number of nodes and least node of the keys that several nodes share; of keys with the same nodes, one."""
+    sums = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"x{i}") for i in (0, 1)]
+    held = places.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min(F.struct("node", "fp", "mark")).alias("least")).where("n > 1")
+    return cut(held.groupBy("n", "x0", "x1").agg(F.min(F.struct("key", "least")).alias("s")).select("s.key", "n", "s.least"))
+
+
 def links(found: DataFrame) -> DataFrame:
     """(a, b): links between fingerprints of texts that are alike, of the rows that `marked` gives."""
+    texts = found.where(F.size("keys") > 0).select(F.xxhash64("fp", "shingles").alias("node"), "fp", "mark", "keys", "shingles")
+    node = ["node", "fp", "mark"]
     # equal texts are one row from here on
-    nodes = cut(found.where(F.size("keys") > 0).select(F.xxhash64("fp", "sketch").alias("node"), "fp", "sketch", "keys").dropDuplicates(["node"]))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    places = keyed.join(shared, "key")
-    usual = places.where(F.col("n") <= CROWD).select("key", "node").join(nodes.select("node", "fp", "sketch"), "node")
-    out = usual.select("key", "fp", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    if not shared.where(F.col("n") > CROWD).isEmpty():
-        crowded = places.where(F.col("n") > CROWD).select("key", "node").join(nodes, "node")
-        divided = crowded.select("fp", "sketch", "key", F.explode(F.filter("keys", lambda k: k != F.col("key"))).alias("other"))
-        # either of two keys may come first: a pair of keys is one shard
-        divided = divided.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "fp", "sketch")
-        # texts without another key have a shard of their own
-        alone = crowded.where(F.size("keys") == 1).select("key", "fp", "sketch")
-        rows = divided.dropDuplicates(["key", "fp", "sketch"]).unionByName(alone)
-        out = out.unionByName(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long"))
-    return out
+    nodes = cut(texts.groupBy("node", "fp").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys")))
+
+    def linked(places: DataFrame) -> DataFrame:
+        dealt = places.groupBy(*node, "top").agg(F.collect_list("key").alias("shards"))
+        rows = texts.select(*node, "shingles").join(dealt, node).select(F.explode("shards").alias("key"), "fp", "top", "shingles")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, LINKS)
+
+    def place(rows: DataFrame, key: Column | str = "key", top: Column | str = "fp") -> DataFrame:
+        return rows.select(*node, F.col(top).alias("top"), key if isinstance(key, Column) else F.col(key))
+
+    keyed = nodes.select(*node, F.explode("keys").alias("key"))
+    shared = _shards(keyed)
+    small = place(keyed.join(shared.where(F.col("n") <= CROWD).select("key"), "key"))
+    crowded = shared.where(F.col("n") > CROWD).select("key")
+    if crowded.isEmpty():
+        return linked(small)
+    many = keyed.join(crowded, "key").select(*node).distinct()
+    banded = cut(texts.join(many, node, "left_semi").select(*node, "shingles").mapInArrow(_banded, "node long, fp long, mark long, keys array<bigint>").dropDuplicates(["node"]))
+    bands = banded.select(*node, F.explode("keys").alias("key"))
+    shared = _shards(bands)
+    small = small.unionByName(place(bands.join(shared.where(F.col("n") <= CROWD).select("key"), "key")))
+    large = shared.where(F.col("n") > CROWD).withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int"))
+    if large.isEmpty():
+        return linked(small)
+    # first each block by itself and with one text of the shard that all blocks share
+    block = F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int")
+    held = bands.join(large.select("key", "blocks"), "key").withColumn("block", block)
+    middle = large.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = F.xxhash64("key", "block").alias("key")
+    out = cut(linked(small.unionByName(place(held, own)).unionByName(place(middle, own))))
+    # then, of shards that are not yet connected, each block with each
+    tops = connected_components(out).withColumnRenamed("node", "fp")
+    held = held.join(tops, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    apart = cut(held.groupBy("key").agg((F.min("top") != F.max("top")).alias("apart")).where("apart").select("key"))
+    if apart.isEmpty():
+        return out
+    pairs = held.join(apart, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    return out.unionByName(linked(place(pairs, both, "top")))

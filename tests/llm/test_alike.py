@@ -99,3 +99,21 @@ def test_a_large_group_is_one(spark):
 
 def test_odd_rows(spark):
     assert alike.links(alike.marked(odd_docs(spark), F.lit(0).cast("long"))).count() == 0
+
+
+def test_texts_whose_one_common_key_is_crowded_meet(spark, monkeypatch):
+    monkeypatch.setattr(alike, "CROWD", 3)
+    random.seed(9)
+    word = lambda: f"w{random.randrange(10**6)}"
+    start = next(t for _ in iter(int, 1) if len(alike.sketch(t := " ".join(word() for _ in range(8)))[0]) == 1)
+    (key,), one = alike.sketch(start)
+    texts = [start]
+    while len(texts) < 12:
+        keys, two = alike.sketch(t := f"{start} {word()}")
+        bits = (simhash.fingerprint(start) ^ simhash.fingerprint(t)).bit_count()
+        if len(keys) == 2 and key in keys and bits <= 16 and alike.agreement(np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)[None])[0] >= 0.8:
+            texts.append(t)
+    assert all(similarity(start, t) == 0.8 for t in texts[1:])
+    found = alike.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(0).cast("long"))
+    tops = {r.node: r.top for r in connected_components(alike.links(found)).collect()}
+    assert len({tops.get(r.fp, r.fp) for r in found.collect()}) == 1
