@@ -3,10 +3,10 @@
 A SimHash of 64 bits moves by up to some fourteen bits between such texts, too many for shards by bands. So
 texts are dealt to shards by shingles that they share: the hashes of a text's shingles fall into `KEYS`
 ranges, and the least of each range is a key. Two texts with similarity s agree on a range's least hash
-with probability s, on none of eight with (1 - s)**8 (three in a million at 0.8). Within a shard a
-Burkhard-Keller tree of the SimHashes is followed along the edges within `RADIUS`, and a pair counts if
-the sketches agree: of `BINS` ranges of hashes, the share of least hashes that are equal, `AGREE` or more
-(an estimate of the similarity, off by 0.018 at 0.8 and by less where texts have few shingles).
+with probability s, on none of eight with (1 - s)**8 (three in a million at 0.8). Within a shard all
+texts are compared, whatever their SimHashes, and a pair counts if the sketches agree: of `BINS` ranges of
+hashes, the share of least hashes that are equal, `AGREE` or more (an estimate of the similarity, off by
+0.018 at 0.8 and by less where texts have few shingles).
 
 The texts of shards with more than `CROWD` are dealt anew by `BANDS` numbers, each made of `BAND` least hashes
 under permutations of their own: texts at 0.8 share none of them with probability (1 - 0.8**3)**16, one in
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from inkmill.llm._shared import cut, small_batches
 from inkmill.llm.components import connected_components
-from inkmill.llm.simhash import BKTree, fingerprint
+from inkmill.llm.simhash import fingerprint
 
 WORDS, KEYS, BINS, SEED = 5, 8, 512, 7
-RADIUS, AGREE = 16, 0.79
+AGREE = 0.79
 #: Texts in a shard, and in a block of a larger one.
 CROWD = 512
 #: Bands of texts in crowded shards, and permutations to a band.
@@ -121,10 +121,8 @@ def forest(fps: list[int], tops: list[int], sets: list[np.ndarray]) -> list[tupl
     """Links that connect the fingerprints of texts that are alike; those of one top are known to be connected."""
     sketches = np.stack([sketch_of(s) for s in sets])
     group = np.unique(tops, return_inverse=True)[1]
-    tree = BKTree()
-    for i, fp in enumerate(fps):
-        near = np.array([j for j in tree.within(fp, RADIUS) if group[j] != group[i]], np.int64)
-        tree.add(fp)
+    for i in range(1, len(fps)):
+        near = np.flatnonzero(group[:i] != group[i])
         for j in near[agreement(sketches[i], sketches[near]) >= AGREE]:
             if group[i] != group[j]:
                 group[group == group[j]] = group[i]

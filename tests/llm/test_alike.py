@@ -117,3 +117,12 @@ def test_texts_whose_one_common_key_is_crowded_meet(spark, monkeypatch):
     found = alike.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(0).cast("long"))
     tops = {r.node: r.top for r in connected_components(alike.links(found)).collect()}
     assert len({tops.get(r.fp, r.fp) for r in found.collect()}) == 1
+
+
+def test_a_repeated_line_hides_no_copy(spark):
+    random.seed(10)
+    base, line = [f"w{random.randrange(3000)}" for _ in range(200)], [f"l{i}" for i in range(8)]
+    texts = [" ".join(base), " ".join([*base, *line * 60])]
+    assert similarity(*texts) >= 0.9 and (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 16
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(frame).collect()] == [0]
