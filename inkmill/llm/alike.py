@@ -4,9 +4,11 @@ A SimHash of 64 bits moves by up to some fourteen bits between such texts, too m
 texts are dealt to shards by shingles that they share: the hashes of a text's shingles fall into `KEYS`
 ranges, and the least of each range is a key. Two texts with similarity s agree on a range's least hash
 with probability s, on none of eight with (1 - s)**8 (three in a million at 0.8). Within a shard all
-texts are compared, whatever their SimHashes, and a pair counts if the sketches agree: of `BINS` ranges of
-hashes, the share of least hashes that are equal, `AGREE` or more (an estimate of the similarity, off by
-0.018 at 0.8 and by less where texts have few shingles).
+texts are compared, whatever their SimHashes, and a pair counts if the sets of their hashes agree to `AGREE`.
+Sketches spare most of these comparisons: of `BINS` ranges of hashes, the share of least hashes that are
+equal is an estimate of the similarity, off by 0.018 at 0.8, and pairs that it puts `SLACK` or more (some
+five deviations) below `AGREE` are not looked at. In small sets, where a few ranges that hold two hashes
+move it further, all pairs are.
 
 The texts of shards with more than `CROWD` are dealt anew by `BANDS` numbers, each made of `BAND` least hashes
 under permutations of their own: texts at 0.8 share none of them with probability (1 - 0.8**3)**16, one in
@@ -32,7 +34,9 @@ from inkmill.llm.components import connected_components
 from inkmill.llm.simhash import fingerprint
 
 WORDS, KEYS, BINS, SEED = 5, 8, 512, 7
-AGREE = 0.79
+AGREE, SLACK = 0.8, 0.1
+#: Hashes in a set that is compared without regard to its sketch.
+SMALL = 32
 #: Texts in a shard, and in a block of a larger one.
 CROWD = 512
 #: Bands of texts in crowded shards, and permutations to a band.
@@ -117,14 +121,25 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return both / np.maximum(((many != 0) | (one != 0)).sum(1), 1)
 
 
+def same(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether the similarity of two sets is `AGREE` or more."""
+    few, most = sorted((len(one), len(two)))
+    if few / most < AGREE:
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / (few + most - both) >= AGREE
+
+
 def forest(fps: list[int], tops: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect the fingerprints of texts that are alike; those of one top are known to be connected."""
-    sketches = np.stack([sketch_of(s) for s in sets])
+    sketches, sizes = np.stack([sketch_of(s) for s in sets]), np.array([len(s) for s in sets])
     group = np.unique(tops, return_inverse=True)[1]
     for i in range(1, len(fps)):
         near = np.flatnonzero(group[:i] != group[i])
-        for j in near[agreement(sketches[i], sketches[near]) >= AGREE]:
-            if group[i] != group[j]:
+        if len(near):
+            near = near[(agreement(sketches[i], sketches[near]) > AGREE - SLACK) | (sizes[near] < SMALL)]
+        for j in near:
+            if group[i] != group[j] and same(sets[i], sets[j]):
                 group[group == group[j]] = group[i]
     first = {g: fps[i] for i, g in reversed(list(enumerate(group.tolist())))}
     return [(fp, first[g]) for fp, g in zip(fps, group.tolist()) if fp != first[g]]
@@ -165,10 +180,10 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shards(places: DataFrame) -> DataFrame:
-    """key, number of nodes and least node of the keys that several nodes share; of keys with the same nodes, one."""
+    """key and number of nodes of the keys that several nodes share; of keys with the same nodes, one."""
     sums = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"x{i}") for i in (0, 1)]
-    held = places.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min(F.struct("node", "fp", "mark")).alias("least")).where("n > 1")
-    return cut(held.groupBy("n", "x0", "x1").agg(F.min(F.struct("key", "least")).alias("s")).select("s.key", "n", "s.least"))
+    held = places.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    return cut(held.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n"))
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -179,8 +194,7 @@ def links(found: DataFrame) -> DataFrame:
     nodes = cut(texts.groupBy("node", "fp").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys")))
 
     def linked(places: DataFrame) -> DataFrame:
-        dealt = places.groupBy(*node, "top").agg(F.collect_list("key").alias("shards"))
-        rows = texts.select(*node, "shingles").join(dealt, node).select(F.explode("shards").alias("key"), "fp", "top", "shingles")
+        rows = texts.select(*node, "shingles").join(places, node).select("key", "fp", "top", "shingles")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, LINKS)
 
     def place(rows: DataFrame, key: Column | str = "key", top: Column | str = "fp") -> DataFrame:
@@ -203,7 +217,8 @@ def links(found: DataFrame) -> DataFrame:
     # first each block by itself and with one text of the shard that all blocks share
     block = F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int")
     held = bands.join(large.select("key", "blocks"), "key").withColumn("block", block)
-    middle = large.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    least = held.groupBy("key", "blocks").agg(F.min(F.struct(*node)).alias("least"))
+    middle = least.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     own = F.xxhash64("key", "block").alias("key")
     out = cut(linked(small.unionByName(place(held, own)).unionByName(place(middle, own))))
     # then, of shards that are not yet connected, each block with each

@@ -126,3 +126,20 @@ def test_a_repeated_line_hides_no_copy(spark):
     assert similarity(*texts) >= 0.9 and (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 16
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in simhash.keep_one(frame).collect()] == [0]
+
+
+def test_the_line_is_at_eight_tenths(spark):
+    """Pairs just above 0.8 are linked and those just below are not."""
+    random.seed(11)
+    texts = []
+    for shared in (885, 892) * 20:
+        # sets of 1,000 shingles: 885 in common are 0.794, 892 are 0.805
+        base, other = ([f"{c}{random.randrange(10**6)}" for _ in range(1004)] for c in "wy")
+        texts += [" ".join(base), " ".join(base[: shared + 4] + other[shared + 4 :])]
+    pairs = list(zip(texts[::2], texts[1::2]))
+    exact = [similarity(*p) for p in pairs]
+    assert all(0.77 < s < 0.83 for s in exact) and {s >= 0.8 for s in exact} == {True, False}
+    found = alike.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(0).cast("long"))
+    tops = {r.node: r.top for r in connected_components(alike.links(found)).collect()}
+    group = {r.doc_id: tops.get(r.fp, r.fp) for r in found.collect()}
+    assert [group[2 * i] == group[2 * i + 1] for i in range(len(pairs))] == [s >= 0.8 for s in exact]
