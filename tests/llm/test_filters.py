@@ -1,7 +1,10 @@
 """Operators that judge single documents: licences, languages, toxicity, quality, benchmark passages."""
 
+import math
 import random
 import zlib
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -110,20 +113,68 @@ def test_language_ignores_what_it_must(spark, data):
 # toxicity
 
 
+def spelt(word):
+    data = f" {word} ".encode()
+    return [data[max(0, i - 7) : i + 1] for i in range(1, len(data))]
+
+
+def plain_evidence(rows):
+    """Evidence of a word, by Kneser-Ney worked out straight from its definition, over rows (words, toxic)."""
+    n = [Counter(), Counter()]
+    for words, y in rows:
+        for w in words:
+            n[y].update(spelt(w))
+    every = set(n[0]) | set(n[1])
+    kinds = {m: {g[-m:] for g in every if len(g) >= m} for m in range(1, 9)}
+
+    @cache
+    def lower(g):
+        def times(h):
+            return sum(1 for x in kinds[len(h) + 1] if x[1:] == h)
+
+        beside = [h for h in kinds[len(g)] if h[:-1] == g[:-1] and times(h)]
+        below = lower(g[1:]) if len(g) > 1 else 1 / 256
+        return (max(times(g) - 0.75, 0) + 0.75 * len(beside) * below) / sum(times(h) for h in beside)
+
+    def top(g, counts, weight=0.0):
+        beside = [counts[h] for h in every if h[:-1] == g[:-1] and counts[h]]
+        return max(counts[g] - 0.75, 0), 0.75 * len(beside) + weight, sum(beside) + weight
+
+    def word(w):
+        total = 0.0
+        for g in spelt(w):
+            shared = 1.0  # of a byte that neither class has seen here, it cancels out
+            if g in every:
+                own, rest, all_ = top(g, n[0] + n[1])
+                shared = (own + rest * lower(g[1:])) / all_
+            for y, sign in ((1, 1), (0, -1)):
+                own, rest, all_ = top(g, n[y], toxicity.SHARED_WEIGHT)
+                total += sign * math.log((own + rest * shared) / all_ if all_ > toxicity.SHARED_WEIGHT else shared)
+        return total
+
+    return word
+
+
+SAID = [("the cat and the other cat", 0), ("the idiot and another idiot", 1), ("ideas of idealists", 0), ("what idiots they are", 1), ("loweischaft über loweiöl", 1), ("they are the authors of a catalogue", 0)]
+
+
 def test_grams():
-    assert toxicity.grams("ab") == [b" a", b" ab", b" ab "]
-    assert all(len(g) <= toxicity.ORDER for g in toxicity.grams("abcdefghijk"))
+    found, place = toxicity.grams(["ab", "abcdefghij"])
+    as_bytes = [int(g).to_bytes(8, "big").lstrip(b"\0") for g in found]
+    assert as_bytes == spelt("ab") + spelt("abcdefghij") and place.tolist() == [0] * 3 + [1] * 11
+    assert [int(g) for g in toxicity.grams(["a"])[0]] == [0x2061, 0x206120]
 
 
-def test_evidence_of_words():
-    counts = {}
-    for word, a, b in (("the", 50, 9), ("cat", 5, 0), ("idiot", 0, 9), ("idea", 7, 1)):
-        for g in toxicity.grams(word):
-            x, y = counts.get(g, (0, 0))
-            counts[g] = (x + a, y + b)
-    model = toxicity.Model(counts)
-    assert model.word("idiot") > 0.5 > model.word("the") and abs(model.word("zzz")) < 1
-    assert model.word("idiots") > model.word("ideas")
+def test_evidence_is_kneser_ney(spark):
+    rows = spark.createDataFrame([(t, y) for t, y in SAID], "text string, mark int").repartition(3)
+    counted = toxicity.counts(rows)
+    plain = plain_evidence([(t.split(), y) for t, y in SAID])
+    words = sorted({w for t, _ in SAID for w in t.split()} | {"idiotic", "lowei", "zzz", "catalogues", "thermos"})
+    for tasks in (1, 5):
+        toxicity_rows = toxicity.model_rows(counted, tasks * toxicity.GRAMS_IN_TASK)
+        table = toxicity.Table(toxicity_rows.toArrow())
+        np.testing.assert_allclose(table(words), [plain(w) for w in words], rtol=1e-4, atol=1e-5)
+    assert plain("idiots") > max(0, plain("ideas"))
 
 
 def test_toxicity_on_held_out_rows(spark, data):
@@ -132,6 +183,7 @@ def test_toxicity_on_held_out_rows(spark, data):
     assert got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()
     pairs = got.score[got.toxic == 1].to_numpy()[:, None] > got.score[got.toxic == 0].to_numpy()[None, :]
     assert pairs.mean() > 0.85
+    assert (got.predicted[got.toxic == 1] == 1).mean() > 0.6
     assert got.predicted[got.toxic == 0].mean() < 0.03
 
 
@@ -158,9 +210,16 @@ def test_many_labels_are_joined_without_broadcast(spark, monkeypatch):
     a = {r.doc_id: r.score for r in toxicity.op4(docs, labels).collect()}
     monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 1)
     assert {r.doc_id: r.score for r in toxicity.op4(docs, labels).collect()} == a
-    # a bounded model keeps the commonest sequences
-    monkeypatch.setattr(toxicity, "MAX_GRAMS", 12)
-    assert toxicity.op4(docs, labels).count() == 200
+
+
+def test_large_models_are_joined(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    docs = odd_docs(spark, [(i, f"{'idiot' if i % 2 else 'friend'} words {i % 7} of idio{'t' * (i % 3)}") for i in range(10, 300)])
+    small, large = (toxicity.learn(docs, labels, n) for n in (toxicity.MOST_GRAMS, 0))
+    assert small.table is not None and large.table is None
+    np.testing.assert_allclose(small.curve, large.curve, rtol=1e-5)
+    a, b = (sorted((r.doc_id or -1, round(r.score, 6)) for r in toxicity.score(docs, m).collect()) for m in (small, large))
+    assert a == b
 
 
 # quality
