@@ -305,10 +305,9 @@ class Model:
 
         def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = batch.column(0).to_pylist()
-                if words:
-                    found, place = grams(words)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(found.view(np.int64))], names=["word", "gram"])
+                if len(batch):
+                    found, place = grams(batch.column(2).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(place)) for i in (0, 1)), pa.array(found.view(np.int64))], names=["w1", "w2", "gram"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -318,11 +317,12 @@ class Model:
         keys = [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")]
         # equal texts are cut up once
         texts = docs.where("text is not null").select(*keys, "text").dropDuplicates(["k1", "k2"])
-        words = cut(texts.mapInArrow(cut_up, "k1 long, k2 long, place long, word string"))
+        # a word may be as long as a text: it goes by two hashes
+        words = cut(texts.mapInArrow(cut_up, "k1 long, k2 long, place long, word string").withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64("word", F.lit(1))}))
         seen, unseen = (self.rows.where(F.col("kind") == k).select(F.col("key").alias(n), F.col("value").alias(v)) for k, n, v in ((0, "gram", "own"), (1, "context", "none")))
-        spelled = words.select("word").distinct().mapInArrow(spelt, "word string, gram long").withColumn("context", F.shiftrightunsigned("gram", 8))
-        value = spelled.join(seen, "gram", "left").join(unseen, "context", "left").groupBy("word").agg(F.sum(F.coalesce("own", "none", F.lit(0.0)).cast("double")).alias("value"))
-        lists = words.join(value, "word").groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+        spelled = words.select("w1", "w2", "word").dropDuplicates(["w1", "w2"]).mapInArrow(spelt, "w1 long, w2 long, gram long").withColumn("context", F.shiftrightunsigned("gram", 8))
+        value = spelled.join(seen, "gram", "left").join(unseen, "context", "left").groupBy("w1", "w2").agg(F.sum(F.coalesce("own", "none", F.lit(0.0)).cast("double")).alias("value"))
+        lists = words.drop("word").join(value, ["w1", "w2"]).groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
         found = lists.mapInArrow(summed, f"k1 long, k2 long, {FIGURE_KINDS}")
         met = docs.select(*more, *keys).join(found, ["k1", "k2"], "left")
         return met.select(*more, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in FIGURES))
