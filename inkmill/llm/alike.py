@@ -3,18 +3,19 @@
 A SimHash of 64 bits moves by up to some fourteen bits between such texts, too many for shards by bands. So
 texts are dealt to shards by shingles that they share: the hashes of a text's shingles fall into `KEYS`
 ranges, and the least of each range is a key. Two texts with similarity s agree on a range's least hash
-with probability s, on none of eight with (1 - s)**8 (three in a million at 0.8). Within a shard all
-texts are compared, whatever their SimHashes, and a pair counts if the sets of their hashes agree to `AGREE`.
-Sketches spare most of these comparisons: of `BINS` ranges of hashes, the share of least hashes that are
-equal is an estimate of the similarity, off by 0.018 at 0.8, and pairs that it puts `SLACK` or more (some
-five deviations) below `AGREE` are not looked at. In small sets, where a few ranges that hold two hashes
-move it further, all pairs are.
-
-The texts of shards with more than `CROWD` are dealt anew by `BANDS` numbers, each made of `BAND` least hashes
-under permutations of their own: texts at 0.8 share none of them with probability (1 - 0.8**3)**16, one in
-100,000. A shard that is still larger is linked in blocks that have one text in common; unless all its texts
-are then connected, each block meets each other one. So every shard is bounded, and every text is compared
-with all others of its shards that it is not yet connected with. Shards with the same texts are one.
+with probability s, on none of eight with (1 - s)**8 (three in a million at 0.8).
+
+Within a shard all texts are first compared by short sketches: of `BINS` ranges of hashes, the least hash of
+each in 8 remixed bits. The share of equal ones estimates the similarity, and pairs that it puts `SLACK`
+standard deviations or more below `AGREE` are no candidates. What candidates connect goes on with the whole
+sets of hashes, and a pair counts if these agree to `AGREE`. Groups with the same texts are one.
+
+Groups of more than `CROWD` texts are linked in blocks that have one text in common; unless all their texts
+are then connected, each block meets each other one. Shards of more than `CROWDED` texts are first tried in
+such blocks, each text in its largest shard. Where that doesn't connect all their texts, these are dealt anew
+by `BANDS` numbers, each made of `BAND` least hashes under permutations of their own: texts at 0.8 share none
+of them with probability (1 - 0.8**3)**16, one in 100,000. So every task's groups are bounded, and every text
+is compared with all others of its shards that it is not yet connected with.
 
 Null, empty and wordless texts have no keys here; fewer than five words make one shingle.
 """
@@ -22,6 +23,7 @@ Null, empty and wordless texts have no keys here; fewer than five words make one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,14 @@ from inkmill.llm._shared import cut, small_batches
 from inkmill.llm.components import connected_components
 from inkmill.llm.simhash import fingerprint
 
-WORDS, KEYS, BINS, SEED = 5, 8, 512, 7
-AGREE, SLACK = 0.8, 0.1
-#: Hashes in a set that is compared without regard to its sketch.
-SMALL = 32
-#: Texts in a shard, and in a block of a larger one.
-CROWD = 512
+WORDS, KEYS, BINS, SEED = 5, 8, 64, 7
+AGREE, SLACK = 0.8, 5.0
+#: Texts that are compared by their sets in one group or block of a larger one; texts of a shard that are compared by sketches.
+CROWD, CROWDED = 512, 4096
 #: Bands of texts in crowded shards, and permutations to a band.
 BANDS, BAND = 16, 3
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64)
+NODE = ["node", "fp", "mark"]
 LINKS = "a long, b long"
 
 
@@ -70,12 +71,12 @@ def keys_of(found: np.ndarray) -> list[int]:
 
 
 def sketch_of(found: np.ndarray) -> np.ndarray:
-    """Of short hashes, the least of each bin in 8 bits, 0 for an empty bin."""
+    """Of short hashes, the least of each bin in 8 bits of its own mixture, 0 for an empty bin."""
     least = np.zeros(BINS, np.uint8)
-    width = 32 - BINS.bit_length() + 1
-    bins = found >> np.uint32(width)
+    bins = found >> np.uint32(32 - BINS.bit_length() + 1)
     first = _firsts(bins)
-    least[bins[first]] = np.maximum(found[first] >> np.uint32(width - 8) & np.uint32(0xFF), 1)
+    # the leading bits of a least hash are the same in all long texts
+    least[bins[first]] = np.maximum(found[first] * np.uint32(0x9E3779B1) >> np.uint32(24), 1)
     return least
 
 
@@ -99,7 +100,7 @@ def bands_of(found: np.ndarray) -> list[int]:
 
 
 def marked(docs: DataFrame, mark: Column) -> DataFrame:
-    """doc_id, fp, mark, keys and short hashes of every row."""
+    """doc_id, fp, mark, keys, sketch and short hashes of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,18 +108,37 @@ def marked(docs: DataFrame, mark: Column) -> DataFrame:
             texts = batch.column(1).to_pylist()
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             found = [hashes(t) for t in texts]
+            sets = [short(h) for h in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints), batch.column(2), pa.array([keys_of(h) for h in found], pa.list_(pa.int64())), pa.array([short(h).tobytes() for h in found], pa.binary())],
-                names=["doc_id", "fp", "mark", "keys", "shingles"],
+                [
+                    batch.column(0),
+                    pa.array(prints),
+                    batch.column(2),
+                    pa.array([keys_of(h) for h in found], pa.list_(pa.int64())),
+                    pa.array([sketch_of(x).tobytes() for x in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
+                names=["doc_id", "fp", "mark", "keys", "sketch", "shingles"],
             )
 
-    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long, keys array<bigint>, shingles binary")
+    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long, keys array<bigint>, sketch binary, shingles binary")
 
 
 def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Estimated similarity of a sketch with each of many."""
+    return _agreement(one, many)[0]
+
+
+def _agreement(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     both = ((many == one) & (one != 0)).sum(1)
-    return both / np.maximum(((many != 0) | (one != 0)).sum(1), 1)
+    used = np.maximum(((many != 0) | (one != 0)).sum(1), 1)
+    return both / used, used
+
+
+def candidates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of many sketches may be of texts that agree with that of one."""
+    estimate, used = _agreement(one, many)
+    return estimate >= AGREE - SLACK * np.sqrt(AGREE * (1 - AGREE) / used)
 
 
 def same(one: np.ndarray, two: np.ndarray) -> bool:
@@ -130,53 +150,73 @@ def same(one: np.ndarray, two: np.ndarray) -> bool:
     return both / (few + most - both) >= AGREE
 
 
+def groups(sketches: np.ndarray) -> np.ndarray:
+    """A number for each sketch, equal where candidates connect them."""
+    group = np.arange(len(sketches))
+    for i in range(1, len(group)):
+        others = np.flatnonzero(group[:i] != i)
+        near = others[candidates(sketches[i], sketches[others])]
+        for g in np.unique(group[near]):
+            group[group == g] = i
+    return group
+
+
 def forest(fps: list[int], tops: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect the fingerprints of texts that are alike; those of one top are known to be connected."""
-    sketches, sizes = np.stack([sketch_of(s) for s in sets]), np.array([len(s) for s in sets])
+    sketches = np.stack([sketch_of(s) for s in sets])
     group = np.unique(tops, return_inverse=True)[1]
     for i in range(1, len(fps)):
         near = np.flatnonzero(group[:i] != group[i])
-        if len(near):
-            near = near[(agreement(sketches[i], sketches[near]) > AGREE - SLACK) | (sizes[near] < SMALL)]
-        for j in near:
+        for j in near[candidates(sketches[i], sketches[near])] if len(near) else ():
             if group[i] != group[j] and same(sets[i], sets[j]):
                 group[group == group[j]] = group[i]
     first = {g: fps[i] for i, g in reversed(list(enumerate(group.tolist())))}
     return [(fp, first[g]) for fp, g in zip(fps, group.tolist()) if fp != first[g]]
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Of rows in the order of their first column, those of each of its values."""
+    now: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if now and row[0] != now[0][0]:
+                yield now
+                now = []
+            now.append(row)
+    if now:
+        yield now
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, fp, top, shingles) in the order of key, the forests of each key."""
-    now: int | None = None
-    fps: list[int] = []
-    tops: list[int] = []
-    sets: list[np.ndarray] = []
-
-    def linked() -> list[tuple[int, int]]:
-        return forest(fps, tops, sets) if len(fps) > 1 else []
 
     def rows(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        prints = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-        for key, fp, top, s in zip(batch.column(0).to_pylist(), prints, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if key != now:
-                out += linked()
-                now, fps, tops, sets = key, [], [], []
-            fps.append(fp)
-            tops.append(top)
-            sets.append(np.frombuffer(s, np.uint32))
-        yield rows(out)
-    yield rows(linked())
+    out: list[tuple[int, int]] = []
+    for _, fps, tops, sets in (zip(*g) for g in _by_key(batches) if len(g) > 1):
+        out += forest(fps, tops, [np.frombuffer(s, np.uint32) for s in sets])
+        if len(out) > 10_000:
+            yield rows(out)
+            out = []
+    yield rows(out)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, fp, mark, sketch) in the order of key, rows (node, fp, mark, shard, part): what candidates connect in each key."""
+    for g in _by_key(batches):
+        if len(g) > 1:
+            group = groups(np.frombuffer(b"".join([r[4] for r in g]), np.uint8).reshape(-1, BINS))
+            some = np.flatnonzero(np.bincount(group)[group] > 1)
+            if len(some):
+                columns = [[g[i][c] for i in some] for c in (1, 2, 3, 0)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(group[some], pa.int64())], names=[*NODE, "shard", "part"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [bands_of(np.frombuffer(s, np.uint32)) for s in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["node", "fp", "mark", "keys"])
+        found = [bands_of(np.frombuffer(s, np.uint32)) for s in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=[*NODE, "sketch", "keys"])
 
 
 def _shards(places: DataFrame) -> DataFrame:
@@ -186,47 +226,77 @@ def _shards(places: DataFrame) -> DataFrame:
     return cut(held.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n"))
 
 
-def links(found: DataFrame) -> DataFrame:
-    """(a, b): links between fingerprints of texts that are alike, of the rows that `marked` gives."""
-    texts = found.where(F.size("keys") > 0).select(F.xxhash64("fp", "shingles").alias("node"), "fp", "mark", "keys", "shingles")
-    node = ["node", "fp", "mark"]
-    # equal texts are one row from here on
-    nodes = cut(texts.groupBy("node", "fp").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys")))
+class Texts:
+    """Distinct texts of the rows that `marked` gives, and the links between them."""
+
+    def __init__(self, found: DataFrame):
+        self.sets = found.where(F.size("keys") > 0).select(F.xxhash64("fp", "shingles").alias("node"), "fp", "mark", "keys", "sketch", "shingles")
+        # equal texts are one row from here on
+        self.nodes = cut(self.sets.groupBy("node", "fp").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
-    def linked(places: DataFrame) -> DataFrame:
-        rows = texts.select(*node, "shingles").join(places, node).select("key", "fp", "top", "shingles")
+    def linked(self, *places: DataFrame) -> DataFrame:
+        """Links within each key, by the whole sets of rows (node, fp, mark, key, top)."""
+        held = reduce(DataFrame.unionByName, [p.select(*NODE, "key", "top") for p in places])
+        rows = self.sets.select(*NODE, "shingles").join(held, NODE).select("key", "fp", "top", "shingles")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, LINKS)
 
-    def place(rows: DataFrame, key: Column | str = "key", top: Column | str = "fp") -> DataFrame:
-        return rows.select(*node, F.col(top).alias("top"), key if isinstance(key, Column) else F.col(key))
+    def in_blocks(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, rows not yet connected) of large groups (node, fp, mark, key, n): each block by itself and with one text that all share."""
+        blocks = F.ceil(F.col("n") / CROWD).cast("int")
+        held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+        least = held.groupBy("key", "blocks").agg(F.min(F.struct(*NODE)).alias("least"))
+        middle = least.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        own = F.xxhash64("key", "block").alias("key")
+        out = cut(self.linked(*(rows.select(*NODE, own, F.col("fp").alias("top")) for rows in (held, middle))))
+        return out, apart(held, out)
 
-    keyed = nodes.select(*node, F.explode("keys").alias("key"))
+    def by_sketch(self, places: DataFrame) -> DataFrame:
+        """Groups (node, fp, mark, key) that candidates connect in the shards of places (node, fp, mark, sketch, key)."""
+        rows = places.select("key", *NODE, "sketch").repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(_groups, "node long, fp long, mark long, shard long, part long").select(*NODE, F.xxhash64("shard", "part").alias("key"))
+
+
+def apart(held: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of held, with their tops, of the keys whose nodes the links do not all connect."""
+    tops = connected_components(links).withColumnRenamed("node", "fp")
+    topped = held.join(tops, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    keys = topped.groupBy("key").agg((F.min("top") != F.max("top")).alias("apart")).where("apart").select("key")
+    return cut(topped.join(cut(keys), "key"))
+
+
+def links(found: DataFrame) -> DataFrame:
+    """(a, b): links between fingerprints of texts that are alike, of the rows that `marked` gives."""
+    texts = Texts(found)
+    own = [*NODE, "sketch"]
+    keyed = texts.nodes.select(*own, F.explode("keys").alias("key"))
     shared = _shards(keyed)
-    small = place(keyed.join(shared.where(F.col("n") <= CROWD).select("key"), "key"))
-    crowded = shared.where(F.col("n") > CROWD).select("key")
-    if crowded.isEmpty():
-        return linked(small)
-    many = keyed.join(crowded, "key").select(*node).distinct()
-    banded = cut(texts.join(many, node, "left_semi").select(*node, "shingles").mapInArrow(_banded, "node long, fp long, mark long, keys array<bigint>").dropDuplicates(["node"]))
-    bands = banded.select(*node, F.explode("keys").alias("key"))
-    shared = _shards(bands)
-    small = small.unionByName(place(bands.join(shared.where(F.col("n") <= CROWD).select("key"), "key")))
-    large = shared.where(F.col("n") > CROWD).withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int"))
+    grouped = texts.by_sketch(keyed.join(shared.where(F.col("n") <= CROWDED).select("key"), "key"))
+    out = []
+    crowded = shared.where(F.col("n") > CROWDED)
+    if not crowded.isEmpty():
+        places = cut(keyed.join(crowded, "key").select(*own, "key", "n"))
+        largest = places.groupBy(*NODE).agg(F.max(F.struct("n", "key")).alias("most")).select(*NODE, "most.*")
+        first, _ = texts.in_blocks(largest)
+        out.append(first)
+        left = apart(places, first)
+        if not left.isEmpty():
+            some = texts.sets.join(left.select(*NODE).distinct(), NODE, "left_semi").select(*own, "shingles").dropDuplicates(["node"])
+            bands = cut(some.mapInArrow(_banded, "node long, fp long, mark long, sketch binary, keys array<bigint>")).select(*own, F.explode("keys").alias("key"))
+            again = _shards(bands)
+            grouped = grouped.unionByName(texts.by_sketch(bands.join(again.where(F.col("n") <= CROWDED).select("key"), "key")))
+            # too many even for sketches: the shard is a group as it is
+            grouped = grouped.unionByName(bands.join(again.where(F.col("n") > CROWDED).select("key"), "key").select(*NODE, "key"))
+    grouped = cut(grouped)
+    held = grouped.join(_shards(grouped), "key")
+    small = held.where(F.col("n") <= CROWD).withColumn("top", F.col("fp"))
+    large = held.where(F.col("n") > CROWD)
     if large.isEmpty():
-        return linked(small)
-    # first each block by itself and with one text of the shard that all blocks share
-    block = F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int")
-    held = bands.join(large.select("key", "blocks"), "key").withColumn("block", block)
-    least = held.groupBy("key", "blocks").agg(F.min(F.struct(*node)).alias("least"))
-    middle = least.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    own = F.xxhash64("key", "block").alias("key")
-    out = cut(linked(small.unionByName(place(held, own)).unionByName(place(middle, own))))
-    # then, of shards that are not yet connected, each block with each
-    tops = connected_components(out).withColumnRenamed("node", "fp")
-    held = held.join(tops, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
-    apart = cut(held.groupBy("key").agg((F.min("top") != F.max("top")).alias("apart")).where("apart").select("key"))
-    if apart.isEmpty():
-        return out
-    pairs = held.join(apart, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
-    return out.unionByName(linked(place(pairs, both, "top")))
+        out.append(texts.linked(small))
+    else:
+        first, left = texts.in_blocks(large)
+        out.append(first)
+        # of groups that are not yet connected, each block meets each other one
+        pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+        out.append(texts.linked(small, pairs.select(*NODE, both, "top")))
+    return reduce(DataFrame.unionByName, out)

@@ -49,15 +49,26 @@ def test_sketches_estimate_similarity():
     for n in (0, 5, 15, 40):
         a, b = " ".join(base), " ".join(varied(base, n))
         one, two = (np.frombuffer(alike.sketch(t)[1], np.uint8) for t in (a, b))
-        assert abs(alike.agreement(one, two[None])[0] - similarity(a, b)) < 0.06
+        assert abs(alike.agreement(one, two[None])[0] - similarity(a, b)) < 0.16
     assert alike.sketch(None) == alike.sketch(" ") == ([], bytes(alike.BINS))
     keys, _ = alike.sketch("a b c")
     assert len(keys) == 1 and alike.sketch("A  b\nC")[0] == keys
 
 
-@pytest.mark.parametrize("crowd", [512, 3])
-def test_links_join_what_is_alike(spark, monkeypatch, crowd):
+def test_long_texts_of_middling_similarity_are_no_candidates():
+    """The least hashes of long texts have equal leading bits; sketches tell them apart nevertheless."""
+    rng = np.random.default_rng(8)
+    sets = rng.integers(0, 1 << 32, (30, 100_000), np.uint32)
+    for n, said in ((94_000, True), (33_000, False), (0, False)):
+        one = alike.sketch_of(np.unique(sets[0]))
+        got = [alike.candidates(one, alike.sketch_of(np.unique(np.r_[sets[0][:n], s[n:]]))[None])[0] for s in sets[1:]]
+        assert got.count(said) >= 27
+
+
+@pytest.mark.parametrize(("crowd", "crowded"), [(512, 4096), (3, 5)])
+def test_links_join_what_is_alike(spark, monkeypatch, crowd, crowded):
     monkeypatch.setattr(alike, "CROWD", crowd)
+    monkeypatch.setattr(alike, "CROWDED", crowded)
     texts = corpus()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = alike.marked(frame, F.lit(0).cast("long"))
@@ -67,7 +78,7 @@ def test_links_join_what_is_alike(spark, monkeypatch, crowd):
     for i, a in enumerate(texts):
         for j, b in enumerate(texts[:i]):
             s = similarity(a, b)
-            if s >= 0.84:
+            if s >= 0.8:
                 assert group[i] == group[j], (i, j, s)
     members = defaultdict(list)
     for i, g in group.items():
@@ -75,7 +86,7 @@ def test_links_join_what_is_alike(spark, monkeypatch, crowd):
     for m in members.values():
         for i in m:
             others = [similarity(texts[i], texts[j]) for j in m if j != i]
-            assert not others or max(others) > 0.72 or not shingles(texts[i])
+            assert not others or max(others) >= 0.8 or not shingles(texts[i])
 
 
 def test_one_of_each_group_stays(spark):
@@ -103,15 +114,15 @@ def test_odd_rows(spark):
 
 def test_texts_whose_one_common_key_is_crowded_meet(spark, monkeypatch):
     monkeypatch.setattr(alike, "CROWD", 3)
+    monkeypatch.setattr(alike, "CROWDED", 3)
     random.seed(9)
     word = lambda: f"w{random.randrange(10**6)}"
     start = next(t for _ in iter(int, 1) if len(alike.sketch(t := " ".join(word() for _ in range(8)))[0]) == 1)
-    (key,), one = alike.sketch(start)
+    (key,), _ = alike.sketch(start)
     texts = [start]
     while len(texts) < 12:
-        keys, two = alike.sketch(t := f"{start} {word()}")
-        bits = (simhash.fingerprint(start) ^ simhash.fingerprint(t)).bit_count()
-        if len(keys) == 2 and key in keys and bits <= 16 and alike.agreement(np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)[None])[0] >= 0.8:
+        keys, _ = alike.sketch(t := f"{start} {word()}")
+        if len(keys) == 2 and key in keys:
             texts.append(t)
     assert all(similarity(start, t) == 0.8 for t in texts[1:])
     found = alike.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(0).cast("long"))
