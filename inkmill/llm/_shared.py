@@ -38,6 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_as_dealt(df: DataFrame) -> DataFrame:
+    """cut(df), of which Spark still knows by what columns its rows are dealt, so that joins by them move the other side only."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    said = conf.get(key)
+    try:
+        # an adaptive plan doesn't tell
+        conf.set(key, "false")
+        return cut(df)
+    finally:
+        conf.set(key, said)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches by rows and bytes, since one text may be very long."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

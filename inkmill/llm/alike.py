@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm._shared import cut, small_batches
+from inkmill.llm._shared import cut, cut_as_dealt, small_batches
 from inkmill.llm.components import connected_components
 from inkmill.llm.simhash import fingerprint
 
@@ -42,7 +42,9 @@ CROWD, CROWDED = 512, 4096
 #: Bands of texts in crowded shards, and permutations to a band.
 BANDS, BAND = 16, 3
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64)
-NODE = ["node", "fp", "mark"]
+NODE = ["node", "fp"]
+#: Texts in a task that holds sets.
+TEXTS_IN_TASK = 10_000
 LINKS = "a long, b long"
 
 
@@ -100,28 +102,30 @@ def bands_of(found: np.ndarray) -> list[int]:
 
 
 def marked(docs: DataFrame, mark: Column) -> DataFrame:
-    """doc_id, fp, mark, keys, sketch and short hashes of every row."""
+    """doc_id, fp and mark of every row, and node, keys, sketch and short hashes of its text, null where its task has met that before."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            found = [hashes(t) for t in texts]
-            sets = [short(h) for h in found]
+            rows: list[tuple] = []
+            for t, fp in zip(texts, prints.tolist()):
+                found = hashes(t)
+                shingles = (x := short(found)).tobytes()
+                node = xxhash.xxh64_intdigest(shingles, fp & (1 << 63) - 1) - (1 << 63)
+                if not len(x) or node in met:
+                    rows.append((None,) * 4)
+                else:
+                    met.add(node)
+                    rows.append((node, keys_of(found), sketch_of(x).tobytes(), shingles))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(prints),
-                    batch.column(2),
-                    pa.array([keys_of(h) for h in found], pa.list_(pa.int64())),
-                    pa.array([sketch_of(x).tobytes() for x in sets], pa.binary()),
-                    pa.array([x.tobytes() for x in sets], pa.binary()),
-                ],
-                names=["doc_id", "fp", "mark", "keys", "sketch", "shingles"],
+                [batch.column(0), pa.array(prints), batch.column(2), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "fp", "mark", "node", "keys", "sketch", "shingles"]
             )
 
-    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long, keys array<bigint>, sketch binary, shingles binary")
+    return docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long, node long, keys array<bigint>, sketch binary, shingles binary")
 
 
 def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -203,20 +207,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, fp, mark, sketch) in the order of key, rows (node, fp, mark, shard, part): what candidates connect in each key."""
+    """Of rows (key, node, fp, sketch) in the order of key, rows (node, fp, shard, part): what candidates connect in each key."""
     for g in _by_key(batches):
         if len(g) > 1:
-            group = groups(np.frombuffer(b"".join([r[4] for r in g]), np.uint8).reshape(-1, BINS))
+            group = groups(np.frombuffer(b"".join([r[3] for r in g]), np.uint8).reshape(-1, BINS))
             some = np.flatnonzero(np.bincount(group)[group] > 1)
             if len(some):
-                columns = [[g[i][c] for i in some] for c in (1, 2, 3, 0)]
+                columns = [[g[i][c] for i in some] for c in (1, 2, 0)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(group[some], pa.int64())], names=[*NODE, "shard", "part"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [bands_of(np.frombuffer(s, np.uint32)) for s in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=[*NODE, "sketch", "keys"])
+        found = [bands_of(np.frombuffer(s, np.uint32)) for s in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=[*NODE, "keys"])
 
 
 def _shards(places: DataFrame) -> DataFrame:
@@ -230,30 +234,34 @@ class Texts:
     """Distinct texts of the rows that `marked` gives, and the links between them."""
 
     def __init__(self, found: DataFrame):
-        self.sets = found.where(F.size("keys") > 0).select(F.xxhash64("fp", "shingles").alias("node"), "fp", "mark", "keys", "sketch", "shingles")
-        # equal texts are one row from here on
-        self.nodes = cut(self.sets.groupBy("node", "fp").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+        some = found.where("node is not null").select(*NODE, "keys", "sketch", "shingles")
+        tasks = max(1, -(-found.count() // TEXTS_IN_TASK))
+        self.sets = cut_as_dealt(some.repartition(tasks, "node").dropDuplicates(["node"]))
+        self.nodes = self.sets.drop("shingles")
 
     def linked(self, *places: DataFrame) -> DataFrame:
-        """Links within each key, by the whole sets of rows (node, fp, mark, key, top)."""
+        """Links within each key, by the whole sets of rows (node, fp, key, top)."""
         held = reduce(DataFrame.unionByName, [p.select(*NODE, "key", "top") for p in places])
-        rows = self.sets.select(*NODE, "shingles").join(held, NODE).select("key", "fp", "top", "shingles")
+        rows = self.sets.select("node", "shingles").join(held, "node").select("key", "fp", "top", "shingles")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, LINKS)
 
-    def in_blocks(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links, rows not yet connected) of large groups (node, fp, mark, key, n): each block by itself and with one text that all share."""
-        blocks = F.ceil(F.col("n") / CROWD).cast("int")
-        held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-        least = held.groupBy("key", "blocks").agg(F.min(F.struct(*NODE)).alias("least"))
-        middle = least.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        own = F.xxhash64("key", "block").alias("key")
-        out = cut(self.linked(*(rows.select(*NODE, own, F.col("fp").alias("top")) for rows in (held, middle))))
-        return out, apart(held, out)
-
     def by_sketch(self, places: DataFrame) -> DataFrame:
-        """Groups (node, fp, mark, key) that candidates connect in the shards of places (node, fp, mark, sketch, key)."""
-        rows = places.select("key", *NODE, "sketch").repartition("key").sortWithinPartitions("key")
-        return rows.mapInArrow(_groups, "node long, fp long, mark long, shard long, part long").select(*NODE, F.xxhash64("shard", "part").alias("key"))
+        """Groups (node, fp, key) that candidates connect in the shards of places (node, fp, key)."""
+        rows = self.sets.select("node", "sketch").join(places.select(*NODE, "key"), "node").select("key", *NODE, "sketch")
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "node long, fp long, shard long, part long")
+        return found.select(*NODE, F.xxhash64("shard", "part").alias("key"))
+
+
+def in_blocks(held: DataFrame) -> DataFrame:
+    """Large groups (node, fp, key, n) with the number of their `blocks` and each text's `block`."""
+    return held.withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+
+
+def with_one_in_common(held: DataFrame) -> DataFrame:
+    """(node, fp, key): a key for each block, of which each has the same one text of its group."""
+    least = held.groupBy("key", "blocks").agg(F.min(F.struct(*NODE)).alias("least"))
+    middle = least.select("least.*", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return held.select(*NODE, "key", "block").unionByName(middle).distinct().select(*NODE, F.xxhash64("key", "block").alias("key"))
 
 
 def apart(held: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,36 +275,37 @@ def apart(held: DataFrame, links: DataFrame) -> DataFrame:
 def links(found: DataFrame) -> DataFrame:
     """(a, b): links between fingerprints of texts that are alike, of the rows that `marked` gives."""
     texts = Texts(found)
-    own = [*NODE, "sketch"]
-    keyed = texts.nodes.select(*own, F.explode("keys").alias("key"))
+    own = F.col("fp").alias("top")
+    keyed = texts.nodes.select(*NODE, F.explode("keys").alias("key"))
     shared = _shards(keyed)
     grouped = texts.by_sketch(keyed.join(shared.where(F.col("n") <= CROWDED).select("key"), "key"))
     out = []
     crowded = shared.where(F.col("n") > CROWDED)
     if not crowded.isEmpty():
-        places = cut(keyed.join(crowded, "key").select(*own, "key", "n"))
+        places = cut(keyed.join(crowded, "key").select(*NODE, "key", "n"))
         largest = places.groupBy(*NODE).agg(F.max(F.struct("n", "key")).alias("most")).select(*NODE, "most.*")
-        first, _ = texts.in_blocks(largest)
+        first = cut(texts.linked(texts.by_sketch(with_one_in_common(in_blocks(largest))).withColumn("top", own)))
         out.append(first)
         left = apart(places, first)
         if not left.isEmpty():
-            some = texts.sets.join(left.select(*NODE).distinct(), NODE, "left_semi").select(*own, "shingles").dropDuplicates(["node"])
-            bands = cut(some.mapInArrow(_banded, "node long, fp long, mark long, sketch binary, keys array<bigint>")).select(*own, F.explode("keys").alias("key"))
+            some = texts.sets.join(left.select("node").distinct(), "node", "left_semi").select(*NODE, "shingles")
+            bands = cut(some.mapInArrow(_banded, "node long, fp long, keys array<bigint>")).select(*NODE, F.explode("keys").alias("key"))
             again = _shards(bands)
             grouped = grouped.unionByName(texts.by_sketch(bands.join(again.where(F.col("n") <= CROWDED).select("key"), "key")))
             # too many even for sketches: the shard is a group as it is
             grouped = grouped.unionByName(bands.join(again.where(F.col("n") > CROWDED).select("key"), "key").select(*NODE, "key"))
     grouped = cut(grouped)
     held = grouped.join(_shards(grouped), "key")
-    small = held.where(F.col("n") <= CROWD).withColumn("top", F.col("fp"))
+    small = held.where(F.col("n") <= CROWD).withColumn("top", own)
     large = held.where(F.col("n") > CROWD)
     if large.isEmpty():
         out.append(texts.linked(small))
     else:
-        first, left = texts.in_blocks(large)
+        blocked = cut(in_blocks(large))
+        first = cut(texts.linked(with_one_in_common(blocked).withColumn("top", own)))
         out.append(first)
         # of groups that are not yet connected, each block meets each other one
-        pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = apart(blocked, first).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
         out.append(texts.linked(small, pairs.select(*NODE, both, "top")))
     return reduce(DataFrame.unionByName, out)
