@@ -27,6 +27,64 @@ from inkmill.llm._shared import small_batches
 # Public licence sentences, normalised, with their identifiers.
 SENTENCES = {
     "released under the mit license": "mit-ref",
+    "this software is released under the mit license": "mit-ref",
+    "this project is released under the mit license": "mit-ref",
+    "this software is licensed under the mit license": "mit-ref",
+    "this code is licensed under the mit license": "mit-ref",
+    "spdx license identifier mit": "mit-ref",
+    "spdx license identifier apache 2 0": "apache2-ref",
+    "spdx license identifier bsd 2 clause": "bsd2-ref",
+    "spdx license identifier bsd 3 clause": "bsd3-ref",
+    "spdx license identifier isc": "isc-title",
+    "spdx license identifier mpl 2 0": "mpl2-ref",
+    "spdx license identifier gpl 2 0": "gpl2-ref",
+    "spdx license identifier gpl 2 0 only": "gpl2-ref",
+    "spdx license identifier gpl 2 0 or later": "gpl2-later",
+    "spdx license identifier gpl 3 0": "gpl3-ref",
+    "spdx license identifier gpl 3 0 only": "gpl3-ref",
+    "spdx license identifier gpl 3 0 or later": "gpl3-later",
+    "spdx license identifier lgpl 2 1": "lgpl21-ref",
+    "spdx license identifier lgpl 2 1 only": "lgpl21-ref",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21-later",
+    "spdx license identifier lgpl 3 0 only": "lgpl3-ref",
+    "spdx license identifier lgpl 3 0 or later": "lgpl3-later",
+    "spdx license identifier agpl 3 0 only": "agpl3-ref",
+    "spdx license identifier agpl 3 0 or later": "agpl3-later",
+    "spdx license identifier cc0 1 0": "cc0-ref",
+    "spdx license identifier epl 2 0": "epl2-ref",
+    "spdx license identifier zlib": "zlib-ref",
+    "spdx license identifier bsl 1 0": "bsl1-ref",
+    "spdx license identifier unlicense": "unlicense-ref",
+    "spdx license identifier cc by 4 0": "ccby4-ref",
+    "spdx license identifier cc by sa 4 0": "ccbysa4-ref",
+    "licensed under the gnu lesser general public license version 2 1": "lgpl21-ref",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-ref",
+    "licensed under the gnu affero general public license version 3": "agpl3-ref",
+    "licensed under the gnu general public license version 2": "gpl2-ref",
+    "licensed under the gnu general public license version 3": "gpl3-ref",
+    "licensed under the bsd 2 clause license": "bsd2-ref",
+    "licensed under the bsd 3 clause license": "bsd3-ref",
+    "bsd 2 clause license": "bsd2-ref",
+    "bsd 3 clause license": "bsd3-ref",
+    "licensed under the mozilla public license version 2 0": "mpl2-ref",
+    "licensed under the eclipse public license version 2 0": "epl2-ref",
+    "eclipse public license v 2 0": "epl2-ref",
+    "cc0 1 0 universal": "cc0-ref",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-ref",
+    "boost software license version 1 0": "bsl1-ref",
+    "distributed under the boost software license version 1 0": "bsl1-ref",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "gnu general public license": "gpl-title",
+    "version 2 1 february 1999": "lgpl21-date",
+    "version 2 june 1991": "gpl2-date",
+    "version 3 29 june 2007": "v3-date",
+    "version 3 19 november 2007": "agpl3-date",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
     "licensed under the mit license": "mit-ref",
     "this project is licensed under the mit license": "mit-ref",
     "mit license": "mit-title",
@@ -79,8 +137,32 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty", "gpl-details")),
     ("GPL-2.0-or-later", ("gpl2-grant", "gpl-warranty", "gpl-details")),
     ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl21-date")),
+    ("LGPL-3.0-only", ("lgpl-title", "v3-date")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl3-date")),
+    ("GPL-2.0-only", ("gpl-title", "gpl2-date")),
+    ("GPL-3.0-only", ("gpl-title", "v3-date")),
     ("ISC", ("isc-title", "isc-grant")),
     ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-title",)),
+    ("Zlib", ("zlib-grant",)),
+    ("Zlib", ("zlib-ref",)),
+    ("BSD-2-Clause", ("bsd2-ref",)),
+    ("BSD-3-Clause", ("bsd3-ref",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-2.1-only", ("lgpl21-ref",)),
+    ("LGPL-3.0-only", ("lgpl3-ref",)),
+    ("AGPL-3.0-only", ("agpl3-ref",)),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-3.0-or-later", ("gpl3-later",)),
+    ("EPL-2.0", ("epl2-ref",)),
+    ("CC0-1.0", ("cc0-ref",)),
+    ("BSL-1.0", ("bsl1-ref",)),
+    ("Unlicense", ("unlicense-ref",)),
+    ("MPL-2.0", ("mpl2-ref",)),
     ("MIT", ("mit-grant",)),
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-ref",)),
@@ -104,10 +186,8 @@ PARAGRAPH = re.compile(r"\n[ \t]*\n")
 STOP = re.compile(r"[.!?](?=\s|$)|[:;](?=\s*(?:\n|$))")
 OTHER = re.compile(r"[\W_]+")
 LINE = re.compile(r"[^\n]+")
-LENGTHS = frozenset(len(s) for s in SENTENCES)
 FIRST_WORDS = frozenset(s.split()[0] for s in SENTENCES)
-#: No sentence that is longer than this, before it is normalised, can be a known one, however it is wrapped.
-MOST_CHARS = 4 * max(LENGTHS)
+FIRST = re.compile(r"[^\W_]+")
 
 
 def _sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -124,11 +204,9 @@ def normalise(sentence: str) -> str:
 
 
 def _identify(text: str, a: int, b: int) -> str | None:
-    if b - a > MOST_CHARS:
-        return None
-    piece = text[a:b].strip()
-    first = OTHER.split(piece[:40].lower().lstrip("#*/-;%<>!\"'([ \t\n"), maxsplit=1)[0]
-    return SENTENCES.get(normalise(piece)) if first in FIRST_WORDS else None
+    # most sentences end here: their first word begins no known one
+    first = FIRST.search(text, a, b)
+    return SENTENCES.get(normalise(text[a:b])) if first and first[0].lower() in FIRST_WORDS else None
 
 
 def identifiers(text: str | None) -> list[tuple[int, str]]:
