@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose dictionary packs a text smallest wins.
 
 For each language a raw-content zstandard dictionary is made of a bounded sample of its training rows
-(`SAMPLE_DOCS` documents, `SAMPLE_CHARS` characters of each, chosen by a hash of doc_id). A text is cut
+(`SAMPLE_DOCS` documents by a hash of doc_id, of them whole texts up to `SAMPLE_BYTES` in all; a language
+that has longer texts only gets its shortest). A text is cut
 into pieces of `PIECE` bytes, each packed with every dictionary, and the sizes are added up over the
 whole text. The margin is what the second best needs beyond the best, as a share of the best; below
 `MIN_MARGIN` the answer is marked as rejected.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from inkmill.llm._shared import hash_order, held_out, small_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 192, 600, 512
+SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 192, 160_000, 512
 PIECE, LEVEL, MIN_MARGIN = 1024, 6, 0.01
+#: Letters, and numbers and signs that are no digits: `str.isalpha` tells them apart.
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -38,18 +40,22 @@ def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str
     if not counts:
         return []
     n = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
-    drawn = known.where(F.pmod(hash_order("doc_id", 2), n) < sample_docs)
-    rows = (
-        drawn.select("lang", F.substring(F.lower("text"), 1, SAMPLE_CHARS).alias("text"), hash_order("doc_id", 3).alias("at"))
-        .orderBy("at", "text")
-        .limit(3 * sample_docs * len(counts))
-        .collect()
-    )
-    content: dict[str, list[str]] = {lang: [] for lang in counts}
+    text = F.lower("text")
+    short = known.where(F.octet_length("text") <= SAMPLE_BYTES)
+    drawn = short.where(F.pmod(hash_order("doc_id", 2), n) < sample_docs).select("lang", text.alias("text"), hash_order("doc_id", 3).alias("at"))
+    # rows of a sample are bounded, and so are their texts
+    rows = drawn.orderBy("at", "text").limit(3 * sample_docs * len(counts)).toLocalIterator()
+    content: dict[str, list[bytes]] = {lang: [] for lang in counts}
+    held = dict.fromkeys(counts, 0)
     for r in rows:
-        if len(content[r.lang]) < sample_docs:
-            content[r.lang].append(r.text)
-    return [(lang, "\n".join(content[lang]).encode("utf-8", "replace")) for lang in sorted(counts, key=lambda x: (-counts[x], x)) if content[lang]]
+        data = r.text.encode("utf-8", "replace")
+        if len(content[r.lang]) < sample_docs and held[r.lang] + len(data) <= SAMPLE_BYTES:
+            content[r.lang].append(data)
+            held[r.lang] += len(data)
+    if none := [lang for lang in counts if not held[lang]]:
+        for r in known.where(F.col("lang").isin(none)).groupBy("lang").agg(F.min_by(text, F.struct(F.octet_length("text"), "text")).alias("text")).toLocalIterator():
+            content[r.lang] = [r.text.encode("utf-8", "replace")]
+    return [(lang, b"\n".join(content[lang])) for lang in sorted(counts, key=lambda x: (-counts[x], x))]
 
 
 class Classifier:
@@ -66,7 +72,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """The language, the score and whether the margin is wide enough."""
-        if not self.names or text is None or not LETTER.search(text):
+        if not self.names or text is None or not any(m[0].isalpha() for m in LETTER.finditer(text)):
             return UNKNOWN, 0.0, False
         data = text.lower().encode("utf-8", "replace")
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
