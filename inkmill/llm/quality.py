@@ -37,7 +37,7 @@ FOLD = (re.compile(r"[^\W\d_]"), re.compile(r"\d"))
 
 
 def shape(word: str) -> str:
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return RUN.sub(r"\1", out)
 
 
