@@ -72,3 +72,8 @@ def held_out(doc_id: str | Column, mod: int, remainder: int) -> Column:
 def hash_order(doc_id: str, salt: int) -> Column:
     """A fixed pseudorandom number for a doc_id, by which bounded samples are drawn."""
     return F.xxhash64(F.col(doc_id), F.lit(salt))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of whole rows; of maps, which have none, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])

@@ -23,6 +23,7 @@ a source; an empty table gives no rows. Only doc_id, text and source are read by
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.llm._shared import cut, small_batches
+from inkmill.llm._shared import cut, row_hash, small_batches
 
 WEIGHTS, MOST_REPEATS, MOST_SOURCES = (5, 2, 1), 3, 100_000
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 4096, 20
 ROWS_IN_CHUNK, SHARDS_IN_TASK = 20_000, 16
-#: Beyond this many slots a half takes its counts in proportion: a draw would not move them noticeably.
+#: Slots up to which the library draws; beyond, counts are drawn from the normal curve with the same mean and spread.
 MOST_DRAWN = 1_000_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,12 +79,20 @@ class Draw:
         self.shards = -(-self.total // shard_slots)
 
     def _half(self, counts: np.ndarray, first: int, last: int, n: int) -> np.ndarray:
-        total = int(counts.sum())
+        rng, total = np.random.default_rng([self.seed, first, last]), int(counts.sum())
         if total < MOST_DRAWN:
-            return np.random.default_rng([self.seed, first, last]).multivariate_hypergeometric(counts, n, method="marginals")
-        exact = counts * (n / total)
-        out = np.floor(exact).astype(np.int64)
-        out[np.argsort(out - exact, kind="stable")[: n - int(out.sum())]] += 1
+            return rng.multivariate_hypergeometric(counts, n, method="marginals")
+        # source by source, each from what is left
+        out = np.zeros_like(counts)
+        for i, k in enumerate(counts.tolist()):
+            others = total - k
+            if total < MOST_DRAWN:
+                drawn = int(rng.hypergeometric(k, others, n)) if total else 0
+            else:
+                share = k / total
+                spread = math.sqrt(n * share * (1 - share) * (total - n) / (total - 1))
+                drawn = min(k, n, max(0, n - others, round(n * share + spread * float(rng.standard_normal()))))
+            out[i], n, total = drawn, n - drawn, others
         return out
 
     def __call__(self, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -216,8 +225,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     sources = mix.spark.createDataFrame(list(enumerate(mix.sources)), "rank int, of string")
     numbered = dealt.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "tie", "rank").orderBy("start"))).join(F.broadcast(sources), "rank")
     names = [c for c in docs.columns]
-    kept = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k_doc"), F.xxhash64("text").alias("k_tie"), F.col("source").alias("k_source"))
-    kept = kept.withColumn("k_copy", F.row_number().over(Window.partitionBy("k_doc", "k_tie", "k_source").orderBy(F.xxhash64("row"))))
+    kept = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k_doc"), F.xxhash64("text").alias("k_tie"), F.col("source").alias("k_source"), row_hash(docs).alias("k_row"))
+    kept = kept.withColumn("k_copy", F.row_number().over(Window.partitionBy("k_doc", "k_tie", "k_source").orderBy("k_row")))
     met = kept.join(numbered, F.col("k_doc").eqNullSafe(F.col("doc_id")) & (F.col("k_tie") == F.col("tie")) & F.col("k_source").eqNullSafe(F.col("of")) & (F.col("k_copy") == F.col("copy")))
     at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
