@@ -12,7 +12,8 @@ documents alone.
 Encoding: a text is cut before white space that follows something else. There the tokenizer's own
 pre-tokenizer cuts too, so equal pieces have equal ids wherever they stand; each worker encodes a piece
 once and remembers it. A piece of Latin letters and ASCII signs goes to the library's BPE model word by
-word, any other to its whole tokenizer; texts with a special token's string are encoded whole.
+word, any other to its whole tokenizer; texts with a special token's string are encoded whole, as are all
+texts where the tokenizer's file names a normalizer or another pre-tokenizer than plain byte level.
 
 Defined results: a null text counts as empty; each document ends with id 0; a null doc_id comes first;
 rows of one doc_id follow in the order of a hash of their text; an empty table writes no files and gives
@@ -22,6 +23,7 @@ no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import sys
 import uuid
@@ -73,6 +75,10 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.kind = np.dtype(f"<u{self.width}")
+        #: Whether pieces may be encoded apart: byte level words cut by the usual rule, from the text as it stands.
+        said = json.loads(self.tokenizer.to_str())
+        cutter = said["pre_tokenizer"] or {}
+        self.apart = said["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter["add_prefix_space"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of what follows a space, of whole pieces, and of the pre-tokenizer's words.
         self.spaced: dict[str, bytes] = {}
@@ -103,7 +109,7 @@ class Encoder:
 
     def _odd(self, text: str) -> bytes:
         """Of a text with runs of white space, or with other than spaces and line ends."""
-        if OUTSIDE.search(text) or any(s in text for s in self.special):
+        if not self.apart or OUTSIDE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         out = []
         for piece in PIECES.findall(text):
@@ -114,7 +120,7 @@ class Encoder:
 
     def _even(self, text: str) -> list[str] | None:
         """What stands between single spaces, line ends with what follows them; None for other texts."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(s in text for s in self.special):
+        if not self.apart or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(s in text for s in self.special):
             return None
         # white space of any other kind would make for more words than there are spaces and line ends
         if len(text.split()) != text.count(" ") + text.count("\n") + 1:
@@ -272,7 +278,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
             yield close()
 
     encoded = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "place long, doc_id long, dealt long, tie long, n long, blob binary")
-    ordered = encoded.repartition("place").sortWithinPartitions("place", F.asc_nulls_first("doc_id"), "tie")
+    ordered = encoded.repartition(ranges, "place").sortWithinPartitions("place", F.asc_nulls_first("doc_id"), "tie")
     files = cut(ordered.mapInArrow(write, "name string, place long, part long, n_docs long, n_tokens long"))
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
