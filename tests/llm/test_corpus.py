@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,7 +203,7 @@ def test_chat_by_hand(spark):
     got = {(r.conv_id, r.speaker): r for r in chat.rotate(frame).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
     r = got[1, "ann"]
-    assert r.text == "<|assistant|>\nhi<|end|>\n" + "<|user name=bob|>\nyo < |end|><|end|>\n" * 2 + "<|user name=unknown|>\n<|end|>\n"
+    assert r.text == "<|assistant|>\nhi<|end|>\n" + "<|user name=bob|>\nyo < |end| ><|end|>\n" * 2 + "<|user name=unknown|>\n<|end|>\n"
     assert (r.n_turns, r.n_own, r.n_trained) == (4, 1, 10)
     runs = [tuple(map(int, x.split("*"))) for x in r.mask.split()]
     at, trained = 0, ""
@@ -215,6 +216,35 @@ def test_chat_by_hand(spark):
     assert chat.op7(frame.limit(0)).count() == 0
 
 
+def test_names_keep_to_their_headers(spark):
+    frame = spark.createDataFrame([(1, 0, "a|>\nspoof", "hi"), (1, 1, None, "one"), (1, 2, "unknown", "two")], "conv_id long, turn long, role string, text string")
+    got = {(r.speaker, r.unnamed): r.text for r in chat.rotate(frame).collect()}
+    assert set(got) == {("a| > spoof", False), ("unknown", True), ("unknown", False)}
+    said = "<|user name=a| > spoof|>\nhi<|end|>\n"
+    assert got["unknown", True] == said + "<|assistant|>\none<|end|>\n<|user name=unknown|>\ntwo<|end|>\n"
+    assert got["unknown", False] == said + "<|user name=unknown|>\none<|end|>\n<|assistant|>\ntwo<|end|>\n"
+    con = duckdb.connect()
+    con.register("conversations", frame.toPandas())
+    a, b = chat.op7(frame).toPandas(), con.sql(chat.SQL).df()
+    order = ["speaker", "unnamed"]
+    pd.testing.assert_frame_equal(a.sort_values(order).reset_index(drop=True), b[a.columns].sort_values(order).reset_index(drop=True), check_dtype=False)
+
+
+def test_draws_beyond_the_librarys_range():
+    draw = mixture.Draw([3 * 10**9, 10**9, 5], 4096, 1)
+    for shards in ((0, 3), (draw.shards - 1, draw.shards)):
+        for shard, counts, before in draw(*shards):
+            assert counts.sum() == min(4096, draw.total - 4096 * shard) and before.sum() == 4096 * shard
+            assert (counts >= 0).all() and abs(counts[0] / counts.sum() - 0.75) < 0.08
+
+
+def test_rows_with_maps(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i // 2} " * 9, "s", {"a": i // 4}) for i in range(8)], "doc_id long, text string, source string, more map<string,int>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= set(range(8))
+    assert mixture.mix_documents(docs).count() > 0
+
+
 # media
 
 

@@ -79,6 +79,13 @@ def test_licence_rules_against_plain_matching():
         assert licenses.licences(names) == out
 
 
+def test_licences_in_markup():
+    for text in ("`MIT License`", "_MIT License_", "=== MIT License ===", "\u2022 MIT License", "\u201cMIT License\u201d", "This software is released under the MIT License.", "// SPDX-License-Identifier: MIT", " " * 5000 + "MIT License"):
+        assert licenses.licences([n for _, n in licenses.identifiers(text)]) == ["MIT"], text
+    text = "GNU LESSER GENERAL PUBLIC LICENSE\n    Version 2.1, February 1999\n\nSPDX-License-Identifier: AGPL-3.0-only\n"
+    assert licenses.licences([n for _, n in licenses.identifiers(text)]) == ["LGPL-2.1-only", "AGPL-3.0-only"]
+
+
 def test_licence_scan_of_odd_tables(spark):
     got = licenses.op1(odd_docs(spark, [(9, "Released under the MIT License.")])).collect()
     assert len(got) == len(ODD) + 1 and sum(r.n_sentences for r in got) == 1
@@ -88,6 +95,19 @@ def test_licence_scan_of_odd_tables(spark):
 # languages
 
 
+def test_numbers_and_signs_are_no_letters():
+    classify = language.Classifier([("en", b"some words of a text"), ("fr", b"quelques mots d'un texte")])
+    for text in ("\u00bd \u00b2 \u2460 \u2167", "123 !?", "", None):
+        assert classify(text)[0] == language.UNKNOWN
+    assert classify("\u00bd cup")[0] in ("en", "fr")
+
+
+def test_languages_of_long_texts_only(spark):
+    rows = [(i, ("le mot et la chose " if i % 2 else "the word and the thing ") * 9000, "fr" if i % 2 else "en") for i in range(4)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(name for name, _ in model) == ["en", "fr"] and all(len(x) > language.SAMPLE_BYTES for _, x in model)
+
+
 def test_language_of_odd_tables(spark, data):
     model = language.learn(read(spark, data, "documents"))
     got = {(r.doc_id, r.lang_pred, r.score) for r in language.identify(odd_docs(spark), model).collect()}
