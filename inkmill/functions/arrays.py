@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from inkmill.functions.text import BOS, EOS, EOS_ID, IGNORE_ID, PAD_ID, as_column
 
@@ -70,17 +74,19 @@ def without(ids: Column | str, value: int = PAD_ID) -> Column:
     return F.filter(as_column(ids), lambda x: x != value)
 
 
-def position_ids(mask: Column | str) -> Column:
-    """Places among the unmasked, from 0; masked ones have place 1."""
-    mask = as_column(mask)
-    return F.transform(mask, lambda m, i: F.when(m == 0, 1).otherwise(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _places(masks: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False)
+    bounds = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    flat = pc.fill_null(masks.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sums = np.r_[0, np.cumsum(flat)]
+    within = sums[1:] - np.repeat(sums[bounds[:-1]], sizes)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.where(flat == 0, 1, within - 1).astype(np.int32)), mask=masks.is_null() if masks.null_count else None)
 
 
-def running_position_ids(mask: Column | str) -> Column:
-    """As position_ids, in one pass over the array."""
-    mask = as_column(mask)
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(mask, start, lambda a, m: F.struct((a["n"] + m).alias("n"), F.array_append(a["out"], F.when(m == 0, 1).otherwise(a["n"] + m - 1)).alias("out")), lambda a: a["out"])
+def position_ids(mask: Column | str) -> Column:
+    """Places among the unmasked, from 0; masked ones have place 1. One sum over a batch's masks, whatever their lengths."""
+    return _places(as_column(mask))
 
 
 def shifted(labels: Column | str) -> Column:

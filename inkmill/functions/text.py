@@ -1,11 +1,15 @@
-"""String expressions: normalising, tokenising, decoding, small formats. All run inside the JVM."""
+"""String expressions: normalising, tokenising, decoding, small formats. All but decomposing marks run inside the JVM."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Special tokens and their ids, and the separators of parts and segments.
 UNK, SEP, PAD, CLS, MASK, BOS, EOS = "<unk>", "<sep>", "<pad>", "<cls>", "<mask>", "<|startoftext|>", "<|endoftext|>"
@@ -72,22 +76,34 @@ def pairs(m: Column | str, colon: str = "：", joint: str = "；") -> Column:
     return F.array_join(F.transform(F.map_entries(as_column(m)), lambda e: F.concat(despace(e["key"]), F.lit(colon), despace(e["value"]))), joint)
 
 
-# Letters with marks of Latin-1 and Latin Extended-A, and the letters without them.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-UNMARKED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+@F.arrow_udf(StringType())
+def _unmarked(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.utf8_normalize(texts, "NFD"), r"\p{Mn}+", "")
 
 
 def normalised(x: Column | str) -> Column:
-    """Lower case, without marks on Latin letters (those that decompose), control characters or odd spaces."""
-    plain = F.translate(F.lower(as_column(x)), MARKED, UNMARKED)
-    plain = F.regexp_replace(plain, r"\p{Mn}+", "")
+    """Lower case, decomposed without non-spacing marks, control characters or odd spaces."""
+    plain = _unmarked(F.lower(as_column(x)))
     plain = F.regexp_replace(plain, r"[\x00�\p{Cc}\p{Cf}&&[^\t\n\r]]", "")
     return F.regexp_replace(plain, r"[\p{Zs}\t\r]", " ")
 
 
+def _alone() -> str:
+    """The inside of a character class: ideographs, and digits of any kind as `str.isdigit` has them."""
+    # Blocks of unified and compatibility ideographs
+    blocks = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
+    digits = [i for i in range(0x20000) if chr(i).isdigit()]
+    known = set(digits)
+    runs = [(i, next(j for j in range(i, 0x20000) if j + 1 not in known)) for i in digits if i - 1 not in known]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs + blocks)
+
+
+ALONE = _alone()
+
+
 def isolate(x: Column | str) -> Column:
     """Ideographs and digits of any kind with spaces around, so that each is a token."""
-    return F.regexp_replace(as_column(x), r"([\p{IsHan}\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨])", " $1 ")
+    return F.regexp_replace(as_column(x), f"([{ALONE}])", " $1 ")
 
 
 def tokens(x: Column | str) -> Column:
@@ -172,3 +188,8 @@ def numbered_name(i: Column, width: int | Column = 8, end: str = "") -> Column:
 def any_of(names: Sequence[str]) -> str:
     """A pattern for any of these texts as they stand."""
     return "|".join(r"\Q" + n.replace(r"\E", r"\E\\E\Q") + r"\E" for n in names)
+
+
+def pretty(value, indent: int | str | None = 2, ascii_only: bool = False) -> str:
+    """A value as indented JSON; objects by their fields, anything else by its text."""
+    return json.dumps(value, indent=indent, ensure_ascii=ascii_only, default=lambda o: getattr(o, "__dict__", None) or str(o))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.functions.text import IGNORE_ID
+
 
 def causal(q: Column, k: Column) -> Column:
     return k <= q
@@ -24,9 +26,10 @@ def visible(spark: SparkSession, n: int, stride: int | None = None, last: int =
 
 
 def cross_entropy(logits: Column | str, label: Column | str) -> Column:
-    """log(sum(exp(x))) - x[label], with the greatest value taken out first."""
+    """log(sum(exp(x))) - x[label], with the greatest value taken out first; null for a label that is to be ignored."""
     x = F.col(logits) if isinstance(logits, str) else logits
     y = F.col(label) if isinstance(label, str) else label
     x = F.transform(x, lambda v: v.cast("double"))
     most = F.array_max(x)
-    return most + F.ln(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - most))) - F.element_at(x, y + 1)
+    loss = most + F.ln(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - most))) - F.element_at(x, y + 1)
+    return F.when(y != IGNORE_ID, loss)

@@ -32,13 +32,13 @@ def derive(docs: DataFrame, tokens: str, size: int, specials: Sequence[str] = SP
     return fixed.unionByName(rows)
 
 
-def _table(vocabulary: DataFrame, *columns: str) -> pa.Table | None:
+def held(vocabulary: DataFrame, *columns: str) -> pa.Table | None:
     """The vocabulary in memory, or None if it has more than BROADCAST_ROWS rows."""
     rows = vocabulary.select(*columns).limit(BROADCAST_ROWS + 1).toArrow()
     return rows if rows.num_rows <= BROADCAST_ROWS else None
 
 
-def _looked_up(spark: SparkSession, keys: pa.Array, values: pa.Array, missing, kind: str) -> Callable[[Column | str], Column]:
+def looked_up(spark: SparkSession, keys: pa.Array, values: pa.Array, missing, kind: str) -> Callable[[Column | str], Column]:
     """An expression that looks up the items of an array: a hash look-up by the batch, without a shuffle."""
     shared = spark.sparkContext.broadcast((keys, pa.concat_arrays([values, pa.array([missing], values.type)])))
 
@@ -59,10 +59,10 @@ def encode(docs: DataFrame, key: str, tokens: str, vocabulary: DataFrame, unknow
 
     A vocabulary that fits in memory is looked up within each row's batch, so no token is shuffled.
     """
-    table = _table(vocabulary, "token", "id")
+    table = held(vocabulary, "token", "id")
     if table is not None:
         names, ids = (table.column(c).combine_chunks() for c in ("token", "id"))
-        return docs.select(key, _looked_up(docs.sparkSession, names.cast(pa.string()), ids.cast(pa.int64()), unknown, "bigint")(tokens).alias("ids"))
+        return docs.select(key, looked_up(docs.sparkSession, names.cast(pa.string()), ids.cast(pa.int64()), unknown, "bigint")(tokens).alias("ids"))
     flat = docs.select(key, F.posexplode(tokens).alias("at", "token"))
     met = flat.join(vocabulary.select("token", "id"), "token", "left")
     found = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(unknown).cast("long")).alias("id")))).alias("all")).select(key, F.col("all.id").alias("ids"))
@@ -82,10 +82,10 @@ def last_token_of(vocabulary: DataFrame, line: str) -> DataFrame:
 def decode(docs: DataFrame, key: str, ids: str, vocabulary: DataFrame, unknown: str = UNK) -> DataFrame:
     """key, tokens: ids back as tokens, unknown for those without one or with several."""
     names = token_of(vocabulary, unknown)
-    table = _table(names, "id", "token")
+    table = held(names, "id", "token")
     if table is not None:
         keys, tokens = (table.column(c).combine_chunks() for c in ("id", "token"))
-        return docs.select(key, _looked_up(docs.sparkSession, keys.cast(pa.int64()), tokens.cast(pa.string()), unknown, "string")(ids).alias("tokens"))
+        return docs.select(key, looked_up(docs.sparkSession, keys.cast(pa.int64()), tokens.cast(pa.string()), unknown, "string")(ids).alias("tokens"))
     flat = docs.select(key, F.posexplode(ids).alias("at", "id")).join(names, "id", "left")
     found = flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("token", F.lit(unknown)).alias("token")))).alias("all"))
     return docs.select(key).join(found.select(key, F.col("all.token").alias("tokens")), key, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))

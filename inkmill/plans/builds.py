@@ -9,31 +9,34 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import arrays
 from inkmill.functions import text as T
-from inkmill.operators import packing, records, scoring, vocabulary
+from inkmill.operators import packing, records, scoring, tokenizer, vocabulary
 from inkmill.plans import templates
 
 Encode = Callable[[Column], Column]
 
 
 def id_lookup(table: dict[str, int], unknown: int) -> Encode:
-    """Ids of a text: that of the text itself if it is one token, else those of its tokens."""
-    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.create_map().cast("map<string,int>")
-
-    def encode(text: Column) -> Column:
-        known = F.try_element_at(names, text)
-        return F.when(known.isNotNull(), F.array(known)).otherwise(F.transform(T.tokens(text), lambda t: F.coalesce(F.try_element_at(names, t), F.lit(unknown))))
-
-    return encode
+    """Ids of each text of an array: that of the text itself if it is one token, else those of its tokens."""
+    return lambda texts: tokenizer.looked_up(texts, table, unknown)
 
 
 def encoded(parts: Column | str, encode: Encode) -> Column:
     """Parts with their ids."""
-    return F.transform(T.as_column(parts), lambda p: F.struct(encode(p["text"]).alias("ids"), p["is_label"].alias("is_label")))
+    parts = T.as_column(parts)
+    return F.zip_with(parts, encode(F.transform(parts, lambda p: p["text"])), lambda p, ids: F.struct(ids.alias("ids"), p["is_label"].alias("is_label")))
+
+
+def corpus_tokens(text: Column | str, vocabulary_table: DataFrame) -> Column:
+    """The tokens of texts by a vocabulary that workers hold."""
+    rows = vocabulary.held(vocabulary_table, "token")
+    if rows is None:
+        raise ValueError(f"word pieces need a vocabulary of at most {vocabulary.BROADCAST_ROWS} rows")
+    return tokenizer.tokenized(text, rows.column(0).to_pylist())
 
 
 def pack_corpus(docs: DataFrame, key: str, text: str, vocabulary_table: DataFrame, unknown: int, n: int, stride: int | None = None) -> DataFrame:
     """w, data, attention_mask: windows of a corpus as ids."""
-    framed = docs.select(key, T.framed(T.tokens(text)).alias("tokens"))
+    framed = docs.select(key, T.framed(corpus_tokens(text, vocabulary_table)).alias("tokens"))
     packed = packing.windows(framed, key, "tokens", n, stride)
     ids = vocabulary.encode(packed, "w", "tokens", vocabulary_table, unknown)
     return ids.select("w", F.col("ids").alias("data"), arrays.ones("ids").alias("attention_mask"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import arithmetic, arrays
 from inkmill.functions import text as T
-from inkmill.operators import masks, offsets, packing, plugins, records, scoring, vocabulary
+from inkmill.operators import masks, offsets, packing, plugins, records, scoring, tokenizer, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,6 +135,29 @@ def q_sep_tokens(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), md5(joined(t)).alias("h"))
 
 
+PIECE_SQL = r"regexp_extract_all(replace(lower(strip_accents(text)), chr(10), ' ' || chr(1) || ' '), '[\p{Latin}]+|\p{Han}|[0-9²③]|[^\s\p{Latin}\p{Han}0-9²③]')"
+#: Text that the tables lack: ideographs, full-width signs, marks, odd digits and spaces.
+HAN = ("我爱中国", "我爱，中国！\n第二行", "Việt ά 12３4", "１²③ élan", "　全角　空格 x", "don't 中a中")
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(replace(array_to_string(t, ' '), chr(1), '{T.SEP}')) AS h FROM (SELECT doc_id, {PIECE_SQL} AS t FROM documents)")
+def q_bert_tokens(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", tokenizer.tokenized("text").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), md5(joined("t")).alias("h"))
+
+
+HAN_ROWS = ", ".join(f"({i}, '" + t.replace("'", "''") + "')" for i, t in enumerate(HAN))
+
+
+@query(
+    rf"""WITH d(id, text) AS (VALUES {HAN_ROWS})
+SELECT CAST(id AS BIGINT) AS id, replace(array_to_string(regexp_extract_all(replace(lower(strip_accents(text)), chr(10), ' ' || chr(1) || ' '), '\p{{Han}}|[\p{{Nd}}²③]|[\p{{Latin}}\p{{Greek}}]+|[^\s\x{{3000}}\x{{a0}}\p{{Latin}}\p{{Greek}}\p{{Han}}\p{{Nd}}²③]'), ' '), chr(1), '{T.SEP}') AS tokens FROM d"""
+)
+def q_han_tokens(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(HAN)), "id long, text string")
+    return rows.select("id", joined(tokenizer.tokenized("text")).alias("tokens"))
+
+
 @query("SELECT doc_id, md5(lower(strip_accents(text))) AS h FROM documents")
 def q_norm_text(spark, sf_dir):
     # ß has no mark; line ends stay
@@ -246,16 +269,20 @@ def q_shard_input_index(spark, sf_dir):
     return records.kept(records.judged(placed, "tokens", T.MODEL_WINDOW)).groupBy("file").agg(F.count("*").alias("n_items"))
 
 
-HEAD_SQL = f"{IDS_SQL}, h AS (SELECT doc_id, i, id FROM ids WHERE i < 16), g AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS s, string_agg('1', ',') AS m, count(*) AS n FROM h GROUP BY doc_id)"
+#: Whole documents are padded to the next multiple of this many ids.
+PADDED = 64
+ALL_SQL = f"{IDS_SQL}, g AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS s, string_agg('1', ',') AS m, count(*) AS n, CAST(-count(*) % {PADDED} + {PADDED} AS INTEGER) % {PADDED} AS p FROM ids GROUP BY doc_id)"
 
 
-@query(
-    f"""WITH {HEAD_SQL} SELECT doc_id, s || repeat(',0', 20 - CAST(n AS INTEGER)) AS data, m || repeat(',0', 20 - CAST(n AS INTEGER)) AS mask, s || repeat(',-100', 20 - CAST(n AS INTEGER)) AS label FROM g"""
-)
+def _padded(spark, sf_dir):
+    ids = _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
+    n = F.ceil(F.size("ids") / PADDED).cast("int") * PADDED
+    return ids.select("doc_id", arrays.pad_right("ids", n).alias("data"), arrays.pad_right(arrays.ones("ids"), n).alias("mask"), arrays.pad_right("ids", n, T.IGNORE_ID).alias("label"))
+
+
+@query(f"WITH {ALL_SQL} SELECT doc_id, md5(s || repeat(',0', p)) AS data, md5(m || repeat(',0', p)) AS mask, md5(s || repeat(',-100', p)) AS label FROM g")
 def q_right_pad(spark, sf_dir):
-    ids = _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", F.slice("ids", 1, 16).cast("array<int>").alias("ids"))
-    text = lambda x: joined(x.cast("array<string>"), ",")
-    return ids.select("doc_id", text(arrays.pad_right("ids", 20)).alias("data"), text(arrays.pad_right(arrays.ones("ids"), 20)).alias("mask"), text(arrays.pad_right("ids", 20, T.IGNORE_ID)).alias("label"))
+    return _padded(spark, sf_dir).select("doc_id", *[md5(joined(F.col(c).cast("array<string>"), ",")).alias(c) for c in ("data", "mask", "label")])
 
 
 @query(
@@ -267,12 +294,10 @@ def q_left_pad_batch(spark, sf_dir):
     return records.padded_batches(lengths, "doc_id", 8, ["ids"]).select("batch", "doc_id", md5(joined(F.col("ids").cast("array<string>"))).alias("h"))
 
 
-@query(f"WITH {HEAD_SQL} SELECT doc_id, CAST(n AS BIGINT) AS n_ids, CAST(n AS BIGINT) AS n_mask, CAST(n AS BIGINT) AS n_label FROM g")
+@query(f"WITH {ALL_SQL} SELECT doc_id, CAST(n AS BIGINT) AS n_ids, CAST(n AS BIGINT) AS n_mask, CAST(n AS BIGINT) AS n_label FROM g")
 def q_nonpad_counts(spark, sf_dir):
-    ids = _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", F.slice("ids", 1, 16).cast("array<int>").alias("ids"))
-    padded = ids.select("doc_id", arrays.pad_right("ids", 20).alias("data"), arrays.pad_right(arrays.ones("ids"), 20).alias("mask"), arrays.pad_right("ids", 20, T.IGNORE_ID).alias("label"))
     count = lambda c, v: F.size(arrays.without(c, v)).cast("long")
-    return padded.select("doc_id", count("data", 0).alias("n_ids"), count("mask", 0).alias("n_mask"), count("label", T.IGNORE_ID).alias("n_label"))
+    return _padded(spark, sf_dir).select("doc_id", count("data", 0).alias("n_ids"), count("mask", 0).alias("n_mask"), count("label", T.IGNORE_ID).alias("n_label"))
 
 
 @query(
@@ -289,13 +314,13 @@ def q_summary_template(spark, sf_dir):
 
 
 @query(
-    f"""SELECT d.doc_id, md5('{BOS}句子一“' || left(text, 40) || '”与句子二“' || right(text, 40) || '”的意思是否相似？{T.PART_SEPARATOR}') AS prompt_h, CASE WHEN quality = 1 THEN '是' ELSE '否' END AS label FROM documents d JOIN labels l USING (doc_id)"""
+    f"""SELECT d.doc_id, md5('{BOS}句子一“' || text || '”与句子二“' || lang || text || '”的意思是否相似？{T.PART_SEPARATOR}') AS prompt_h, CASE WHEN quality = 1 THEN '是' ELSE '否' END AS label FROM documents d JOIN labels l USING (doc_id)"""
 )
 def q_pair_template(spark, sf_dir):
     from inkmill.plans import templates
 
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    texts = _docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("sentence1"), F.expr("right(text, 40)").alias("sentence2"))
+    texts = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("sentence1"), F.concat("lang", "text").alias("sentence2"))
     made = templates.evaluation(texts.join(labels, "doc_id"), "lcqmc", 1)
     return made.select("doc_id", md5(joined(F.col("prompt.text"), "")).alias("prompt_h"), F.col("labels")[0]["text"].alias("label"))
 
@@ -457,11 +482,12 @@ def q_causal_mask(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, array_to_string(list_concat(list_transform(range(24 - n), lambda x: 1), list_transform(range(n), lambda x: x)), ' ') AS positions FROM (SELECT doc_id, least(len({TOK}), 24) AS n FROM documents)"""
+    f"""SELECT doc_id, md5(array_to_string(list_concat(list_transform(range(p), lambda x: 1), range(n)), ' ')) AS positions FROM (SELECT doc_id, n, (-n % {PADDED} + {PADDED}) % {PADDED} AS p FROM (SELECT doc_id, len({TOK}) AS n FROM documents))"""
 )
 def q_position_ids(spark, sf_dir):
-    mask = arrays.pad_left(arrays.ones(F.slice(T.tokens("text"), 1, 24)), 24)
-    return _docs(spark, sf_dir).select("doc_id", joined(arrays.running_position_ids(mask).cast("array<string>")).alias("positions"))
+    t = T.tokens("text")
+    mask = arrays.pad_left(arrays.ones(t), F.ceil(F.size(t) / PADDED).cast("int") * PADDED)
+    return _docs(spark, sf_dir).select("doc_id", md5(joined(arrays.position_ids(mask).cast("array<string>"))).alias("positions"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string(t[2:], ' ')) AS h FROM (SELECT doc_id, {TOK} AS t FROM documents)")
@@ -485,19 +511,19 @@ def q_param_ratio(spark, sf_dir):
 
 @plugins.register("backwards", "SAID")
 def _backwards(prompt: str) -> dict:
-    return {"text": prompt[:20][::-1], "length": len(prompt)}
+    return {"text": prompt[::-1], "length": len(prompt)}
 
 
-@query(f"SELECT doc_id, '{BOS}said ' || reverse(left(text, 20)) || ' of ' || length(text) AS out FROM documents")
+@query(f"SELECT doc_id, '{BOS}said ' || reverse(text) || ' of ' || length(text) AS out FROM documents")
 def q_plugin_udf(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", "text", plugins.call("backwards", F.col("text")).alias("answer"))
     said = T.prompt(F.lit("{SAID} of {N}"), "said ", fill={"SAID": F.col("answer.text"), "N": F.col("answer.debug")["length"]})
     return rows.select("doc_id", said.alias("out"))
 
 
-@query(f"SELECT doc_id, CASE WHEN strpos(x, '{T.SEP}') > 0 THEN left(x, CAST(strpos(x, '{T.SEP}') AS BIGINT) - 1) ELSE x END AS out, CASE WHEN length(text) > 10 THEN left(text, 10) || '...' ELSE text END AS preview, reverse(left(text, 30)) AS back FROM (SELECT doc_id, text, replace(text, chr(10), '{T.SEP}') AS x FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN strpos(x, '{T.SEP}') > 0 THEN left(x, CAST(strpos(x, '{T.SEP}') AS BIGINT) - 1) ELSE x END AS out, CASE WHEN length(text) > 10 THEN left(text, 10) || '...' ELSE text END AS preview, reverse(text) AS back FROM (SELECT doc_id, text, replace(text, chr(10), '{T.SEP}') AS x FROM documents)")
 def q_sample_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.sample_text(F.replace("text", F.lit("\n"), F.lit(T.SEP))).alias("out"), T.preview("text").alias("preview"), F.reverse(F.substring("text", 1, 30)).alias("back"))
+    return _docs(spark, sf_dir).select("doc_id", T.sample_text(F.replace("text", F.lit("\n"), F.lit(T.SEP))).alias("out"), T.preview("text").alias("preview"), F.reverse("text").alias("back"))
 
 
 @query(_pack_sql(N, STRIDE))

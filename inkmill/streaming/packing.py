@@ -7,14 +7,17 @@ A file without content gives no row in Spark's file source and so no tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from inkmill.functions import arrays
 from inkmill.functions import text as T
+from inkmill.operators import tokenizer, vocabulary
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,11 +51,18 @@ class Packer(StatefulProcessor):
         pass
 
 
-def read_files(spark: SparkSession, path: str, files_per_batch: int = 2) -> DataFrame:
-    """path and tokens of text files as they arrive."""
+def read_files(spark: SparkSession, path: str, files_per_batch: int = 2, known: Collection[str] | None = None) -> DataFrame:
+    """path and tokens of text files as they arrive, in the pieces that are known, if given."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("path", T.framed(T.tokens(F.decode("content", "UTF-8"))).alias("tokens"))
+    return files.select("path", T.framed(tokenizer.tokenized(F.decode("content", "UTF-8"), known)).alias("tokens"))
+
+
+def examples(packed: DataFrame, table: dict[str, int], unknown: int) -> DataFrame:
+    """Windows with their ids as data and label, and the attention mask."""
+    names, ids = pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())
+    data = packed.withColumn("data", vocabulary.looked_up(packed.sparkSession, names, ids, unknown, "bigint")("tokens"))
+    return data.select("stream", "w", "data", arrays.ones("data").alias("attention_mask"), F.col("data").alias("label"))
 
 
 def windows(stream: DataFrame, n: int, stride: int, by: str | None = None) -> DataFrame:

@@ -143,3 +143,26 @@ def test_plugins(spark):
     assert [r.t for r in plugins.enrich(rows, "prompt", "t", "twice").orderBy("k").collect()] == ["say abab", "!"]
     known = spark.createDataFrame([("ab", "found")], "prompt string, text string")
     assert [r.t for r in plugins.enrich(rows, "prompt", "t", "twice", known).orderBy("k").collect()] == ["say found", "!"]
+
+
+def test_tokens_of_running_text(spark):
+    from inkmill.operators import tokenizer
+
+    cut = tokenizer.Tokenizer()
+    assert cut("我爱中国") == list("我爱中国")
+    assert cut("Việt ά\r\nx１2⑴ don't\x00!") == ["viet", "α", "<sep>", "x", "１", "2", "⑴", "don", "'", "t", "!"]
+    assert cut("a＋b, <unused1>B<sep>") == ["a＋b", ",", "<unused1>", "b", "<sep>"]
+    assert cut(None) == cut("") == [] and cut("\n") == ["<sep>"]
+    pieces = tokenizer.Tokenizer(["un", "##like", "##ly", "我"])
+    assert pieces("Unlikely 我 zz") == ["un", "##like", "##ly", "我", "<unk>"] or pieces("Unlikely 我 zz")[-2:] == ["我", "<unk>"]
+    frame = spark.createDataFrame([(["我b", "b", None],), (None,), ([],)], "x array<string>")
+    got = [r[0] for r in frame.select(tokenizer.looked_up("x", {"b": 5, "我": 6, "我b": 7}, 1)).collect()]
+    assert got == [[[7], [5], []], None, []]
+
+
+def test_losses_leave_out_ignored_labels(spark):
+    from inkmill.operators import masks
+
+    frame = spark.createDataFrame([([0.0, 0.0], 1), ([0.0, 0.0], -100)], "x array<double>, y int")
+    got = [r[0] for r in frame.select(masks.cross_entropy("x", "y")).collect()]
+    assert abs(got[0] - 0.6931471805599453) < 1e-12 and got[1] is None

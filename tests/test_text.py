@@ -33,7 +33,8 @@ def test_tokens(spark):
     assert values(spark, ["Ab12, é!"], T.tokens("x")) == [["ab", "1", "2", ",", "é", "!"]]
     assert values(spark, ["a\n", "a\nb", "\n"], T.tokens_with_lines("x")) == [["a", "<sep>"], ["a", "<sep>", "b"], ["<sep>"]]
     assert values(spark, ["中a1²"], T.words(T.isolate("x"))) == [["中", "a", "1", "²"]]
-    assert values(spark, ["Élève Ñandú"], T.normalised("x")) == ["eleve nandu"]
+    assert values(spark, ["中a⑴⒈⓪❶➀²"], T.words(T.isolate("x"))) == [["中", "a", *"⑴⒈⓪❶➀²"]]
+    assert values(spark, ["Élève Ñandú", "Việt ά й Ạ", None], T.normalised("x")) == ["eleve nandu", "viet α и a", None]
 
 
 def test_decoding_against_a_loop(spark):
@@ -71,7 +72,6 @@ def test_arrays(spark):
     assert values(spark, [[1, 8, 2], [8], [1]], arrays.until_end("x"), kind) == [[1], [], [1]]
     assert values(spark, [[0, 1, 0, 2]], arrays.without("x"), kind) == [[1, 2]]
     assert values(spark, [[0, 0, 1, 1, 1], [1, 0, 1]], arrays.position_ids("x"), kind) == [[1, 1, 0, 1, 2], [0, 1, 1]]
-    assert values(spark, [[0, 0, 1, 1, 1], [1, 0, 1]], arrays.running_position_ids("x"), kind) == [[1, 1, 0, 1, 2], [0, 1, 1]]
     assert values(spark, [[5, 6, 7], []], arrays.shifted("x"), kind) == [[6, 7], []]
     assert values(spark, [[5, 6], [5], []], arrays.interleaved("x", F.lit(0)), kind) == [[5, 0, 6], [5], []]
 
@@ -93,3 +93,8 @@ def test_rewriting(spark):
     assert values(spark, ["1+1", "x", None], arithmetic.evaluated(F.col("x"))) [:1] == [2.0]
     near = arithmetic.close(F.col("x")[0], F.col("x")[1])
     assert values(spark, [[1.0, 1.000005], [1.0, 1.1], [float("inf"), float("inf")], [float("nan"), float("nan")]], near, "x array<double>") == [True, False, True, False]
+
+
+def test_pretty_json():
+    assert T.pretty({"a": ["é"], "b": {1: None}}) == '{\n  "a": [\n    "é"\n  ],\n  "b": {\n    "1": null\n  }\n}'
+    assert T.pretty([{1}]) == '[\n  "{1}"\n]'
