@@ -535,6 +535,8 @@ def q_stream_pack(spark, sf_dir):
     from inkmill.streaming import packing as stream
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='inkmill-stream-')}"
     per = 50
     # a file holds many documents, set apart by a sign; rows of one task keep their order
