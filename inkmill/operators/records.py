@@ -53,9 +53,10 @@ def padded_batches(rows: DataFrame, key: str, size: int, columns: Sequence[str],
     return out.drop(*[f"_{c}" for c in names])
 
 
-def with_files(rows: DataFrame, key: str, items: int = ITEMS_PER_FILE, end: str = ".tfrecord.gz") -> DataFrame:
-    """rows with `shard` and `file` by the place among the rows written."""
-    out = numbered(rows, key, "_at").withColumn("shard", F.floor(F.col("_at") / items)).drop("_at")
+def with_files(rows: DataFrame, key: str, items: int = ITEMS_PER_FILE, end: str = ".tfrecord.gz", dense: bool = False) -> DataFrame:
+    """rows with `shard` and `file` by the place among the rows written; dense: key is that place, as of windows of one stream."""
+    placed = rows.withColumn("_at", F.col(key)) if dense else numbered(rows, key, "_at")
+    out = placed.withColumn("shard", F.floor(F.col("_at") / items)).drop("_at")
     return out.withColumn("file", numbered_name(F.col("shard"), 8, end))
 
 

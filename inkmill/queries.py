@@ -108,7 +108,7 @@ def _windows_sql() -> str:
 
 def _sharded(spark, sf_dir):
     w = packing.windows(_framed(spark, sf_dir), "doc_id", "tokens", N, STRIDE)
-    return records.with_files(w, "w", 1000)
+    return records.with_files(w, "w", 1000, dense=True)
 
 
 @query(_windows_sql() + " SELECT CAST(shard AS BIGINT) AS shard, lpad(CAST(shard AS VARCHAR), 8, '0') || '.tfrecord.gz' AS file, CAST(count(*) AS BIGINT) AS n_items FROM f GROUP BY shard")
