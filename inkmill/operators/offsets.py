@@ -1,6 +1,6 @@
 """Running totals over all rows in an order, without one task that sees all of them.
 
-Rows are dealt to ranges of a whole-number key by arithmetic alone, so the deal is the same whenever it is
+Rows are dealt to ranges of a whole-number key by fixed bounds, so the deal is the same whenever it is
 worked out. Each range has its own running total; the ranges' totals, few rows, are added up before them.
 """
 
@@ -11,27 +11,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a range, about, where keys are spread evenly.
+#: Rows in a range, about.
 ROWS_IN_RANGE = 100_000
 
 
 def ranges(df: DataFrame, key: str, rows: int = ROWS_IN_RANGE):
-    """An expression for the range of each row, in the order of the key."""
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    """An expression for the range of each row, in the order of the key; rows without a key come first.
+
+    Bounds are quantiles of the key, worked out once, so that far-off or clustered keys leave no range with most
+    rows; a row finds its range among them by halving.
+    """
+    n = df.agg(F.count(key)).first()[0]
     many = max(1, -(-n // rows))
-    if many == 1 or low is None:
+    if many == 1:
         return F.lit(0).cast("long")
-    width = max(1, -(-(high - low + 1) // many))
-    return F.coalesce(F.floor((F.col(key) - low) / width), F.lit(-1)).cast("long")
+    shares = F.from_json(F.lit(str([i / many for i in range(1, many)])), "array<double>")
+    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10 * many)).first()[0]))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    # filled up, so that every step has a bound to look at
+    known = F.from_json(F.lit(str(bounds + [(1 << 63) - 1] * (2 * steps[0] - 1 - len(bounds)))), "array<bigint>")
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: at + F.when(F.element_at(known, at + step) < F.col(key), step).otherwise(F.lit(0)))
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(found).cast("long")
 
 
-def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE) -> DataFrame:
-    """df with `out`: the sum of value over earlier rows in the order of key, within each group of `by`."""
+def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE, total: str = "_total") -> DataFrame:
+    """df with `out`: the sum of value over earlier rows in the order of key, and `total`: that over all, within each group of `by`."""
     by = list(by)
     dealt = df.withColumn("_range", ranges(df, key, rows))
     heads = dealt.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"))
+    heads = heads.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"), F.sum("_sum").over(Window.partitionBy(*by)).alias(total))
     within = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     met = dealt.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(heads, [*by, "_range"])
     return met.withColumn(out, F.col("_head") + F.col("_own")).drop("_range", "_head", "_own")
@@ -39,4 +48,4 @@ def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (
 
 def numbered(df: DataFrame, key: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE) -> DataFrame:
     """df with `out`: the number of earlier rows in the order of key."""
-    return running(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", out, by, rows).drop("_one")
+    return running(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", out, by, rows).drop("_one", "_total")

@@ -36,9 +36,7 @@ def windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int | None =
     by = list(by)
     sized = docs.select(*by, key, F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("len"))
     # tokens go along to their range, so they are shuffled once
-    placed = running(sized, key, "len", "at", by, ROWS_IN_RANGE)
-    totals = sized.groupBy(*by).agg(F.sum("len").alias("total"))
-    met = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    met = running(sized, key, "len", "at", by, ROWS_IN_RANGE, "total")
     first = F.greatest(F.floor((F.col("at") - n) / stride) + 1, F.lit(0))
     last = F.least(F.floor((F.col("at") + F.col("len") - 1) / stride), F.floor((F.col("total") - n) / stride))
 
@@ -85,7 +83,7 @@ def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int,
             yield pd.DataFrame(rows, columns=["w", "start"], dtype="int64")
 
     begun = sized.repartition(1).sortWithinPartitions(key).select("len").mapInPandas(follow, "w long, start long")
-    placed = running(sized, key, "len", "at")
+    placed = running(sized, key, "len", "at").drop("_total")
     met = docs.select(key, F.col(tokens).alias("tokens")).join(placed, key)
     # windows and documents meet in cells of n tokens; either touches few cells
     cells = begun.select("w", "start", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + n - 1) / n))).alias("cell"))

@@ -38,6 +38,12 @@ def held(vocabulary: DataFrame, *columns: str) -> pa.Table | None:
     return rows if rows.num_rows <= BROADCAST_ROWS else None
 
 
+def kept(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary worked out once, where it fits in memory; else as it is."""
+    rows = held(vocabulary, *vocabulary.columns)
+    return vocabulary if rows is None else vocabulary.sparkSession.createDataFrame(rows)
+
+
 def looked_up(spark: SparkSession, keys: pa.Array, values: pa.Array, missing, kind: str) -> Callable[[Column | str], Column]:
     """An expression that looks up the items of an array: a hash look-up by the batch, without a shuffle."""
     shared = spark.sparkContext.broadcast((keys, pa.concat_arrays([values, pa.array([missing], values.type)])))

@@ -201,8 +201,8 @@ def q_vocab(spark, sf_dir):
     return _vocabulary(spark, sf_dir)
 
 
-def _ids(spark, sf_dir) -> DataFrame:
-    return vocabulary.encode(_docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("tokens")), "doc_id", "tokens", _vocabulary(spark, sf_dir), 1)
+def _ids(spark, sf_dir, known: DataFrame | None = None) -> DataFrame:
+    return vocabulary.encode(_docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("tokens")), "doc_id", "tokens", known or _vocabulary(spark, sf_dir), 1)
 
 
 IDS_SQL = f"{VOCAB_SQL}, k AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS x FROM (SELECT doc_id, {TOK} AS t FROM documents)), ids AS (SELECT doc_id, i, coalesce(v.id, 1) AS id FROM k LEFT JOIN v ON v.token = k.x)"
@@ -229,13 +229,27 @@ def q_ambiguous_ids(spark, sf_dir):
 
 @query(f"WITH {IDS_SQL}, back AS (SELECT doc_id, i, v.token FROM ids JOIN v USING (id)) SELECT doc_id, md5(string_agg(token, ' ' ORDER BY i)) AS h FROM back GROUP BY doc_id")
 def q_decode_ids(spark, sf_dir):
-    found = vocabulary.decode(_ids(spark, sf_dir), "doc_id", "ids", _vocabulary(spark, sf_dir))
+    known = vocabulary.kept(_vocabulary(spark, sf_dir))
+    found = vocabulary.decode(_ids(spark, sf_dir, known), "doc_id", "ids", known)
     return found.where(F.size("tokens") > 0).select("doc_id", md5(joined("tokens")).alias("h"))
 
 
-@query()
+PIECES = 2000
+
+
+@query(
+    f"""WITH {VOCAB_SQL},
+known AS (SELECT token FROM v WHERE id >= {len(vocabulary.SPECIALS)} AND id < {PIECES}),
+k AS (SELECT doc_id, unnest({TOK}) AS x FROM documents),
+words AS (SELECT DISTINCT x FROM k),
+starts AS (SELECT x, unnest(range(length(x))) AS a FROM words WHERE length(x) <= 100),
+spans AS (SELECT x, a, unnest(range(a + 1, length(x) + 1)) AS b FROM starts),
+steps AS (SELECT x, a, max(b) AS b FROM spans JOIN known ON token = substr(x, a + 1, b - a) GROUP BY x, a),
+cut AS (WITH RECURSIVE c(x, p, n) AS (SELECT x, CAST(0 AS BIGINT), 0 FROM words UNION ALL SELECT c.x, s.b, c.n + 1 FROM c JOIN steps s ON s.x = c.x AND s.a = c.p) SELECT x, max(CASE WHEN p = length(x) THEN n END) AS n FROM c GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(sum(CASE WHEN k.x IS NULL THEN 0 ELSE coalesce(cut.n, 1) END), 0) AS BIGINT) AS n_pieces FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN cut ON cut.x = k.x GROUP BY d.doc_id"""
+)
 def q_wordpiece(spark, sf_dir):
-    rows = _vocabulary(spark, sf_dir, 2000).where("id >= 7").select("token").collect()  # at most 2000, by its own size
+    rows = _vocabulary(spark, sf_dir, PIECES).where(F.col("id") >= len(vocabulary.SPECIALS)).select("token").collect()  # at most PIECES
     known = [p for r in rows for p in (r.token, "##" + r.token)]
     cut = vocabulary.word_pieces(_docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("tokens")), "tokens", known)
     return cut.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"))

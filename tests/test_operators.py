@@ -166,3 +166,13 @@ def test_losses_leave_out_ignored_labels(spark):
     frame = spark.createDataFrame([([0.0, 0.0], 1), ([0.0, 0.0], -100)], "x array<double>, y int")
     got = [r[0] for r in frame.select(masks.cross_entropy("x", "y")).collect()]
     assert abs(got[0] - 0.6931471805599453) < 1e-12 and got[1] is None
+
+
+def test_ranges_hold_out_against_keys_far_away(spark):
+    keys = [*range(0, 6000), 10**12, 10**12 + 5, -(10**9)]
+    rows = spark.createDataFrame([(k, 1) for k in keys], "k long, n int").repartition(4).unionByName(spark.createDataFrame([(None, 1)], "k long, n int"))
+    dealt = rows.withColumn("r", offsets.ranges(rows, "k", 500))
+    sizes = {r.r: r["count"] for r in dealt.groupBy("r").count().collect()}
+    assert max(sizes.values()) <= 1000 and sizes[-1] == 1 and len(sizes) > 10
+    got = [r.at for r in offsets.numbered(rows.where("k is not null"), "k", "at", rows=500).orderBy("k").collect()]
+    assert got == list(range(len(keys)))
