@@ -278,7 +278,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
             yield close()
 
     encoded = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "place long, doc_id long, dealt long, tie long, n long, blob binary")
-    ordered = encoded.repartition(ranges, "place").sortWithinPartitions("place", F.asc_nulls_first("doc_id"), "tie")
+    # by number, not by hash, under which a few tasks would hold several ranges
+    ordered = encoded.repartitionById(ranges, F.col("place").cast("int")).sortWithinPartitions("place", F.asc_nulls_first("doc_id"), "tie")
     files = cut(ordered.mapInArrow(write, "name string, place long, part long, n_docs long, n_tokens long"))
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
