@@ -265,10 +265,12 @@ def _streamed(lines: DataFrame) -> DataFrame:
     return dealt.select("conv_id", "n", "text").mapInArrow(run, f"conv_id {kind}, repaired_sha256 string")
 
 
-def _parted(turns: DataFrame, block_turns: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of the conversations that have one, and of those that have several."""
+def _parted(turns: DataFrame, block_turns: int) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks of the conversations that have one, and of those that have several, if there are any."""
     blocks = cut(_blocks(turns, block_turns))
-    several = blocks.groupBy("conv_id").agg(F.count("*").alias("blocks")).where("blocks > 1").select(F.col("conv_id").alias("id"))
+    several = cut(blocks.groupBy("conv_id").agg(F.count("*").alias("blocks")).where("blocks > 1").select(F.col("conv_id").alias("id")))
+    if several.isEmpty():
+        return blocks, None
     met = F.col("conv_id").eqNullSafe(F.col("id"))
     return blocks.join(several, met, "left_anti"), blocks.join(several, met, "left_semi")
 
@@ -289,7 +291,9 @@ def repaired(turns: DataFrame, copies: str | None = None, block_turns: int = BLO
     `copies` names a column that tells how often a row stands in its place; 0 only names its conversation.
     """
     short, long = _parted(_with_copies(turns, copies), block_turns)
-    lines = _short(short).select("conv_id", F.lit(0).alias("i"), "lines").unionByName(_long(long)[1])
+    lines = _short(short).select("conv_id", F.lit(0).alias("i"), "lines")
+    if long is not None:
+        lines = lines.unionByName(_long(long)[1])
     return lines.select("conv_id", F.col("i").alias("block"), F.posexplode("lines").alias("place", "line")).select("conv_id", "block", "place", "line.*")
 
 
@@ -297,6 +301,8 @@ def report(turns: DataFrame, copies: str | None = None, block_turns: int = BLOCK
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and the hash of the repaired text, for every conv_id."""
     short, long = _parted(_with_copies(turns, copies), block_turns)
     few = _short(short).select("conv_id", "gaps", *COUNTS, "cost", "audit", F.sha2(_text(F.col("lines")).cast("binary"), 256).alias("repaired_sha256"))
+    if long is None:
+        return few
     whole, lines = _long(long)
     hashes = _streamed(lines).withColumnRenamed("conv_id", "id")
     many = whole.join(hashes, F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
