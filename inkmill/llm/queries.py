@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import chat, decontaminate, language, licenses, media, mixture, quality, repair, simhash, tokens, toxicity
+from inkmill.llm import chat, decontaminate, language, licenses, media, mixture, quality, ranking, repair, simhash, tokens, toxicity
 from inkmill.llm._shared import table
 
 #: The tokenizer's file within the folder of public tokenizers.
@@ -61,11 +61,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op12(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_language_id, op3_simhash, op4_toxicity, op5_decontaminate, op6_token_ids, op7_chat, op8_media, op9_mixture, op10_quality, op12_conversation_repair)
+    f.__name__: f for f in (op1_license_scan, op2_language_id, op3_simhash, op4_toxicity, op5_decontaminate, op6_token_ids, op7_chat, op8_media, op9_mixture, op10_quality, op11_ranked_search, op12_conversation_repair)
 }
-SQL: dict[str, str] = {"op7_chat": chat.SQL, "op12_conversation_repair": repair.SQL}
+SQL: dict[str, str] = {"op7_chat": chat.SQL, "op11_ranked_search": ranking.SQL, "op12_conversation_repair": repair.SQL}
