@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import chat, decontaminate, language, licenses, media, mixture, quality, ranking, repair, simhash, tokens, toxicity
+from inkmill.llm import chat, decontaminate, language, licenses, media, mixture, neural, quality, ranking, repair, simhash, tokens, toxicity
 from inkmill.llm._shared import table
 
 #: The tokenizer's file within the folder of public tokenizers.
@@ -69,7 +69,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op12(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_language_id, op3_simhash, op4_toxicity, op5_decontaminate, op6_token_ids, op7_chat, op8_media, op9_mixture, op10_quality, op11_ranked_search, op12_conversation_repair)
+    f.__name__: f for f in (op1_license_scan, op2_language_id, op3_simhash, op4_toxicity, op5_decontaminate, op6_token_ids, op7_chat, op8_media, op9_mixture, op10_quality, op11_ranked_search, op12_conversation_repair, op13_lm_score)
 }
 SQL: dict[str, str] = {"op7_chat": chat.SQL, "op11_ranked_search": ranking.SQL, "op12_conversation_repair": repair.SQL}
