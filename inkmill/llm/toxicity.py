@@ -11,17 +11,20 @@ is the length-normalised difference, the mean of its words' evidence. A few toxi
 mean of a long text that is ordinary otherwise, so two more figures go with it into a logistic curve, which
 is fitted on labelled rows that the counts have not seen: `part`, the mean of the words' likelihood ratios
 before the logarithm is taken, and `second`, the evidence of the second most toxic word, as a single odd
-word may be chance.
+word may be chance. The fit pulls its weights to those of `USUAL_CURVE`, as `PULL` rows would: few rows hardly
+move it away, many take no notice, and a class of one document leaves it as it is.
 
-Counts cover all labelled training rows but those that the curve is fitted on (a quarter of them, about
-`CURVE_ROWS` at most, chosen by a hash of doc_id), and nothing is left out of them. A sequence is one
+Up to `CROSS_ROWS` labelled documents all are used twice: parted within each class into `FOLDS` parts or as many as
+the rarer class has documents, each part has its figures from counts of the others, and counts of all make the
+model. Of more documents a part of each class is set aside for the curve, at most half of it and
+together about `CURVE_ROWS`, those with the least hashes of doc_id; counts cover all others. A sequence is one
 64-bit number, its bytes. All that a sequence's probability needs shares the last two bytes of its
 context, so the model is worked out in tasks that each have all sequences of some such pairs; only the
 orders 1 and 2, at most 65,536 sequences, are gathered. Up to `MOST_GRAMS` sequences the evidence is
 broadcast; beyond, texts are cut into words, whose evidence comes from joins.
 
 Defined results: null, empty and wordless texts have the score of a text without evidence; without
-labelled rows of both classes every score is 0; a doc_id with several labels is toxic if one of them says
+labelled training rows of both classes every score is 0; a doc_id with several labels is toxic if one of them says
 so; null labels and null doc_ids teach nothing; equal texts have equal scores; an empty table gives no rows.
 """
 
@@ -33,8 +36,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.llm._shared import cut, hash_order, held_out, small_batches
@@ -43,7 +47,10 @@ from inkmill.llm._shared import cut, hash_order, held_out, small_batches
 ORDER, DISCOUNT, SHARED_WEIGHT = 8, 0.75, 60.0
 FIGURES = ("whole", "part", "second")
 FIGURE_KINDS = ", ".join(f"{f} double" for f in FIGURES)
-CURVE_ROWS, CURVE_SHARE = 20_000, 0.25
+CURVE_ROWS, CURVE_SHARE, CURVE_LEAST = 20_000, 0.25, 50
+CROSS_ROWS, FOLDS = 5000, 4
+#: Weights of `FIGURES` and the offset as on tables of many rows, and the rows that speak for them.
+USUAL_CURVE, PULL = (-2.0, 3.0, 2.0, -7.0), (5.0, 5.0, 5.0, 0.1)
 #: Sequences (12 bytes each) and contexts that are broadcast at most; more are joined.
 MOST_GRAMS = 16_000_000
 #: Sequences in a task that works out their evidence.
@@ -243,13 +250,21 @@ class Reader(dict):
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic regression of y on the columns of x by Newton's method, with a little shrinkage."""
+    """Logistic regression of y on the columns of x by Newton's method, pulled to the usual curve."""
     x = np.c_[x, np.ones(len(x))]
-    w, shrink = np.zeros(x.shape[1]), np.diag([1e-4] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink * len(x) / 100 + 1e-9 * np.eye(len(w)), x.T @ (y - p) - shrink @ w * len(x) / 100)
-        w += np.clip(step, -20, 20)
+    usual, pull = np.array(USUAL_CURVE), np.array(PULL)
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + (pull * (w - usual) ** 2).sum() / 2)
+
+    w = usual.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * (w - usual))
+        while np.abs(step).max() > 1e-9 and cost(w + step) > cost(w):
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
@@ -276,7 +291,7 @@ class Model:
         self.rows, self.table = rows, None
         if rows.count() <= 2 * most_grams:
             self.table = rows.sparkSession.sparkContext.broadcast(Table(rows.toArrow()))
-        self.curve = [0.0] * (len(FIGURES) + 1)
+        self.curve = list(USUAL_CURVE)
 
     def figures(self, docs: DataFrame, *more: str) -> DataFrame:
         """The columns `more` of docs with `FIGURES` of each row's text."""
@@ -334,26 +349,54 @@ def counts(rows: DataFrame) -> DataFrame:
     return cut(found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
+def _counted(rows: DataFrame, most_grams: int) -> Model:
+    counted = counts(rows)
+    return Model(model_rows(counted, counted.count()), most_grams)
+
+
+def _crossed(rows: DataFrame, sizes: dict[int, int], most_grams: int) -> list[pd.DataFrame]:
+    """Figures of all rows, each from counts of the other parts."""
+    folds = min(FOLDS, *sizes.values())
+    if folds < 2:
+        return []
+    place = F.dense_rank().over(Window.partitionBy("mark").orderBy(hash_order("doc_id", 41), "doc_id"))
+    # few rows, and all of them labelled
+    parted = cut(rows.withColumn("fold", place % folds))
+    seen = (_counted(parted.where(F.col("fold") != i), most_grams).figures(parted.where(F.col("fold") == i), "mark") for i in range(folds))
+    return [f.toPandas() for f in seen]
+
+
+def _spare(rows: DataFrame, sizes: dict[int, int]) -> Column:
+    """Whether a row is set aside for the curve."""
+    place, out = hash_order("doc_id", 41), F.lit(False)
+    for mark, n in sizes.items():
+        wanted = min(n // 2, max(CURVE_LEAST, int(n * min(CURVE_SHARE, CURVE_ROWS / sum(sizes.values())))))
+        if wanted:
+            bound = rows.where(F.col("mark") == mark).select(place.alias("place")).distinct().orderBy("place").limit(wanted).agg(F.max("place")).first()[0]
+            out = out | ((F.col("mark") == mark) & (place <= bound))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) -> Model | None:
     """The model from the labelled rows among docs, or None where a class has no rows."""
     small_batches(docs.sparkSession)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("marked_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("mark"))
-    n_labels = labels.count()
-    if n_labels <= BROADCAST_LABELS:
+    if labels.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     rows = docs.select("doc_id", "text").where("text is not null").join(marks, F.col("doc_id") == F.col("marked_id"))
-    share = min(CURVE_SHARE, CURVE_ROWS / max(1, n_labels))
-    spare = F.pmod(hash_order("doc_id", 41), F.lit(1 << 20)) < int(share * (1 << 20))
-    counted = counts(rows.where(~spare))
-    n, n0, n1 = counted.agg(F.count("*"), F.sum("n0"), F.sum("n1")).first()
-    if not n or not n0 or not n1:
-        return None
-    model = Model(model_rows(counted, n), most_grams)
-    # repeated documents of one label may be more than the labels: they are bounded too
-    seen = model.figures(rows.where(spare), "doc_id", "mark").orderBy(hash_order("doc_id", 42), "doc_id", "whole").limit(CURVE_ROWS).toPandas()
-    if seen["mark"].nunique() < 2:
+    sizes = {r.mark: r.n for r in rows.select("mark", "doc_id").distinct().groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return None
-    model.curve = _curve(seen[list(FIGURES)].to_numpy(), seen["mark"].to_numpy(float))
+    if sum(sizes.values()) <= CROSS_ROWS:
+        model, seen = _counted(rows, most_grams), _crossed(rows, sizes, most_grams)
+    else:
+        spare = _spare(rows, sizes)
+        model = _counted(rows.where(~spare), most_grams)
+        # repeated documents of one label may be more than the labels: they are bounded too
+        seen = [model.figures(rows.where(spare), "doc_id", "mark").orderBy(hash_order("doc_id", 42), "doc_id", "whole").limit(2 * CURVE_ROWS).toPandas()]
+    if seen:
+        found = pd.concat(seen)
+        model.curve = _curve(found[list(FIGURES)].to_numpy(), found["mark"].to_numpy(float))
     return model
 
 

@@ -224,6 +224,75 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.drop_toxic(empty_docs(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize("n_toxic", [1, 2, 3, 6])
+def test_few_toxic_rows(spark, n_toxic):
+    """No table is too small: what a single toxic row says counts, and ordinary rows stay."""
+    kind = ["friend", "tree", "house", "stone", "river", "bread"]
+    said = lambda i, bad: f"the {kind[i % 6]} of my {kind[i % 5]} {'filthy vermin, filthy scum' if bad else kind[i % 4]} went away {i % 9}"
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    bad = set(free[:n_toxic]) | set(held[:4])
+    rows = [(i, said(i, i in bad)) for i in free[:60] + held[:30]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.op4(docs, labels).collect()}
+    low = max(got[i].score for i, _ in rows if i not in bad)
+    assert 0 < low < 0.7 and all(got[i].score > low for i in held[:4])
+    if n_toxic > 1:
+        assert all(got[i].predicted == 1 for i in held[:4])
+        assert {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()} == set(got) - bad
+
+
+def test_smallest_table_is_scored(spark):
+    docs, labels = (read(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    got = toxicity.op4(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert got.score.nunique() > 10
+    assert (got.predicted[got.toxic == 1] == 1).sum() >= 2
+    assert got.predicted[got.toxic == 0].mean() <= 0.1
+
+
+def test_scores_are_worked_out_again(spark):
+    """op4 against plain Kneser-Ney evidence, plain parts and the condition of a least cost for the curve."""
+    said = [(10 + i, t, y) for i, (t, y) in enumerate([*SAID, ("a cat went over the sea", 0), ("you idiot of idiots", 1)])]
+    said = [(next(j for j in range(i * 100, i * 100 + 100) if zlib.crc32(str(j).encode()) % 3 != 1), t, y) for i, t, y in said]
+    asked = next(j for j in range(5, 100) if zlib.crc32(str(j).encode()) % 3 == 1)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in said] + [(asked, "these idiots of the sea")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in said] + [(asked, 1)], "doc_id long, toxic int")
+    order = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.hash_order("doc_id", 41).alias("h")).collect()}
+    folds = 4 if min(sum(y for *_, y in said), sum(1 - y for *_, y in said)) >= 4 else 3
+    fold = {}
+    for mark in (0, 1):
+        for place, i in enumerate(sorted((i for i, _, y in said if y == mark), key=lambda i: (order[i], i)), 1):
+            fold[i] = place % folds
+
+    def figures(text, rows):
+        word = plain_evidence([(t.split(), y) for _, t, y in rows])
+        v = sorted(map(word, text.split()))
+        return [sum(v) / len(v), math.log(sum(map(math.exp, v)) / len(v)), v[-2], 1.0]
+
+    x = np.array([figures(t, [r for r in said if fold[r[0]] != fold[i]]) for i, t, _ in said])
+    y = np.array([y for *_, y in said])
+    model = toxicity.learn(docs.where(docs.doc_id != asked), labels)
+    w, usual, pull = (np.array(v) for v in (model.curve, toxicity.USUAL_CURVE, toxicity.PULL))
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + pull * (w - usual)).max() < 1e-3
+    wanted = {i: 1 / (1 + math.exp(-np.array(figures(t, said)) @ w)) for i, t in [(i, t) for i, t, _ in said] + [(asked, "these idiots of the sea")]}
+    got = {r.doc_id: r.score for r in toxicity.op4(docs, labels).collect()}
+    np.testing.assert_allclose([got[i] for i in sorted(got)], [wanted[i] for i in sorted(wanted)], rtol=1e-3)
+
+
+def test_many_documents_set_some_aside(spark, monkeypatch):
+    """Beyond the crossed tables the curve has rows of both classes, too, however few."""
+    monkeypatch.setattr(toxicity, "CROSS_ROWS", 0)
+    rows = [(i, f"{'idiot' if i < 3 else 'friend'} words {i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(300)], "doc_id long, toxic int")
+    joined = docs.join(labels, "doc_id").withColumnRenamed("toxic", "mark")
+    spare = joined.where(toxicity._spare(joined, {0: 297, 1: 3})).groupBy("mark").count().collect()
+    assert {r.mark: r["count"] for r in spare} == {0: 74, 1: 1}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    assert min(got[i] for i in range(3)) > max(got[i] for i in range(3, 300))
+
+
 def test_many_labels_are_joined_without_broadcast(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(i, f"{'idiot' if i % 2 else 'friend'} words") for i in range(200)], "doc_id long, text string")
