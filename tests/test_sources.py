@@ -1,5 +1,7 @@
 import gzip
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,58 @@ def test_task_files(spark, tmp_path):
     assert files.split_file(spark, str(tmp_path), "train").endswith("train-1.txt")
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are dealt in splits of a few dozen bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "1"}
+    was = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+ENDS = ["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lines_over_many_splits(spark, tmp_path, small_splits, seed):
+    """Places are those of Python's own reading, whatever ends the lines and the file."""
+    rng = random.Random(seed)
+    ends = ["\n"] if seed < 2 else ENDS
+    text = "".join(f"{'é' * rng.randint(0, 9)}{i}" * rng.randint(0, 3) + rng.choice(ends) for i in range(150)) + rng.choice(["", "last", "\n"] if seed < 2 else ["", "last", "last\r", "last\x0b", "\n"])
+    write(f"{tmp_path}/t.txt", text)
+    with open(f"{tmp_path}/t.txt", encoding="utf-8") as f:
+        wanted = f.read().splitlines()
+    got = files.load(spark, f"{tmp_path}/t.txt")
+    # lines with no other ends stay where they are read
+    assert seed >= 2 or got.rdd.getNumPartitions() > 10
+    assert [(r.pos, r.value) for r in got.orderBy("pos").collect()] == list(enumerate(wanted))
+
+
+def test_json_lines_over_many_splits(spark, tmp_path, small_splits):
+    said = [f"{'ü' * (i % 7)}\u2028{i}\x85" for i in range(90)]
+    write(f"{tmp_path}/t.jsonl", "".join(json.dumps({"x": i, "t": t}, ensure_ascii=False) + "\n" for i, t in enumerate(said)))
+    got = files.load(spark, f"{tmp_path}/t.jsonl", "x int, t string")
+    assert got.rdd.getNumPartitions() > 10
+    assert [(r.pos, r.x, r.t) for r in got.orderBy("pos").collect()] == [(i, i, t) for i, t in enumerate(said)]
+    write(f"{tmp_path}/gap.jsonl", '{"x": 1}\n' * 30 + "\n" + '{"x": 1}\n')
+    with pytest.raises(Exception, match="empty line"):
+        files.load(spark, f"{tmp_path}/gap.jsonl", "x int").collect()
+    write(f"{tmp_path}/none.txt", "")
+    assert files.load(spark, f"{tmp_path}/none.txt").count() == 0
+
+
+def test_lines_of_a_folder_go_on(spark, tmp_path, small_splits):
+    parts = [f"{a}{i}" for a in "abc" for i in range(40)]
+    for k in range(3):
+        write(f"{tmp_path}/in/part-{k} é.txt", "\n".join(parts[40 * k : 40 * k + 40]) + ("\n" if k else ""))
+    write(f"{tmp_path}/in/_SUCCESS", "")
+    got = files.load(spark, f"{tmp_path}/in", kind="txt").orderBy("pos").collect()
+    assert [(r.pos, r.value) for r in got] == list(enumerate(parts))
+
+
 def test_configs_and_sinks(spark, tmp_path):
     write(f"{tmp_path}/c.json", '{"a": {"b": [1], "c": 1}}')
     assert files.config(spark, f"{tmp_path}/c.json", "a") == {"b": [1], "c": 1}
