@@ -176,3 +176,34 @@ def test_ranges_hold_out_against_keys_far_away(spark):
     assert max(sizes.values()) <= 1000 and sizes[-1] == 1 and len(sizes) > 10
     got = [r.at for r in offsets.numbered(rows.where("k is not null"), "k", "at", rows=500).orderBy("k").collect()]
     assert got == list(range(len(keys)))
+
+
+def test_crowded_keys_and_copies(spark):
+    """Equal and null keys are dealt on; copies are one row until their places are known; reruns agree."""
+    rows = [(7, i % 50, [i % 50]) for i in range(3000)] + [(None, i, [i]) for i in range(2000)] + [(8, 1, [1])] * 2500 + [(i, 2, None) for i in range(40)]
+    random.seed(2)
+    random.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k long, v long, x array<int>").repartition(5)
+    dealt, copies = offsets._dealt(frame, "k", 200)
+    assert copies and max(r["count"] for r in dealt.groupBy("_range").count().collect()) <= 400
+    assert dealt.count() == 50 + 2000 + 1 + 40 - 2 + 2
+    got = offsets.running(frame, "k", "v", "at", rows=200).collect()
+    assert sorted((r.k is not None, r.k or 0, r.v) for r in got) == sorted((k is not None, k or 0, v) for k, v, _ in rows)
+    total = 0
+    for r in sorted(got, key=lambda r: (r["at"], r.v)):
+        assert r["at"] == total
+        total += r.v
+    order = [r.k if r.k is not None else -1 for r in sorted(got, key=lambda r: (r["at"] + r.v, r.v == 0))]
+    assert order == sorted(order)
+    again = offsets.running(frame.repartition(3), "k", "v", "at", rows=200).collect()
+    as_rows = lambda g: sorted((r.k is None, r.k or 0, r.v, r["at"]) for r in g)
+    assert as_rows(got) == as_rows(again)
+    by = offsets.numbered(frame.withColumn("g", F.col("v") % 2), "k", "at", ["g"], rows=200).groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("at").alias("d"), F.max("at").alias("m")).collect()
+    assert all(r.n == r.d == r.m + 1 for r in by)
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(offsets, "MOST_RANGES", 6)
+    frame = spark.range(5000).withColumn("v", F.lit(1))
+    assert offsets._dealt(frame, "id", 10)[0].select("_range").distinct().count() <= 6
+    assert [r["at"] for r in offsets.numbered(frame, "id", "at", rows=10).orderBy("id").collect()] == list(range(5000))
