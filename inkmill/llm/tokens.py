@@ -45,7 +45,8 @@ END_ID = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
 #: A file is closed when it has this many bytes; so much of it is in memory at most, and one document.
 FILE_BYTES = 32 << 20
-DOCS_IN_RANGE, MOST_READERS = 20_000, 20_000
+#: Documents in a range, about, and ranges at most, beyond which they hold more; a range has as many files as it needs.
+DOCS_IN_RANGE, MOST_RANGES, MOST_READERS = 20_000, 4096, 20_000
 CACHE_PIECES = 400_000
 #: White space and what follows it up to the next; signs that count as white space here but not to all libraries.
 PIECES, OUTSIDE = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
@@ -229,8 +230,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
     """Writes docs to folder; gives the table of files: name, place, n_docs, n_tokens, first (ids before it)."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = docs.count()
-    ranges = max(1, -(-n // DOCS_IN_RANGE))
+    n, nulls = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = max(1, min(MOST_RANGES, -(-n // DOCS_IN_RANGE)))
+    # documents without a doc_id stand before all ranges, or with the first if they are few
+    before_all = min(MOST_RANGES, nulls // DOCS_IN_RANGE)
     bounds: list[int] = []
     if ranges > 1:
         bounds = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("b")).first().b or []
@@ -248,7 +251,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
             first = np.where(known, np.searchsorted(ends, value, "left"), 0)
             # a doc_id that fills whole ranges is dealt over them by the hash of its text
             span = np.where(known, np.searchsorted(ends, value, "right"), 0) - first
-            place = first + np.where(span > 1, (tie & 0x7FFFFFFFFFFFFFFF) % (span + 1), 0)
+            place = before_all + first + np.where(span > 1, (tie & 0x7FFFFFFFFFFFFFFF) % (span + 1), 0)
+            if before_all:
+                place = np.where(known, place, (tie & 0x7FFFFFFFFFFFFFFF) % before_all)
             order = np.where(span > 1, place, 0)
             packed, count = [], []
             for data in encoder(batch.column(2).to_pylist()):
@@ -279,7 +284,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
 
     encoded = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "place long, doc_id long, dealt long, tie long, n long, blob binary")
     # by number, not by hash, under which a few tasks would hold several ranges
-    ordered = encoded.repartitionById(ranges, F.col("place").cast("int")).sortWithinPartitions("place", F.asc_nulls_first("doc_id"), "tie")
+    ordered = encoded.repartitionById(before_all + ranges, F.col("place").cast("int")).sortWithinPartitions("place", F.asc_nulls_first("doc_id"), "tie")
     files = cut(ordered.mapInArrow(write, "name string, place long, part long, n_docs long, n_tokens long"))
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

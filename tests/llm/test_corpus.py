@@ -171,6 +171,10 @@ def test_token_files_of_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(tokens, "DOCS_IN_RANGE", 5)
     many = [*ODD, *((50, f"text {k % 7}") for k in range(40))]
     check_tokens(tokens.op6(odd_docs(spark, many[len(ODD) :]), tokenizer_path()).collect(), many)
+    # most documents without a doc_id, and fewer ranges than that would take
+    monkeypatch.setattr(tokens, "MOST_RANGES", 4)
+    many += [(None, f"none {k}") for k in range(60)]
+    check_tokens(tokens.op6(odd_docs(spark, many[len(ODD) :]), tokenizer_path()).collect(), many)
 
 
 def test_one_document_is_read_alone(spark, tmp_path):
