@@ -1,8 +1,10 @@
-import gzip
+import io
 import json
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,10 +119,40 @@ def test_configs_and_sinks(spark, tmp_path):
     assert rows.first().attention_mask == [1, 1] and len(files.sample(rows, "id")) == 1
 
 
-def test_record_files(spark, tmp_path):
+def plain_crc(data):
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    crc ^= 0xFFFFFFFF
+    return (crc >> 15 | crc << 17) + 0xA282EAD8 & 0xFFFFFFFF
+
+
+def test_record_bytes():
     assert tfrecord.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
-    features = {"data": [1, 300, -100], "label": [], "pinyin": None}
-    assert tfrecord.parse(tfrecord.serialize(features)) == {"data": [1, 300, -100], "label": []}
+    rng = random.Random(0)
+    messages = [rng.randbytes(rng.choice([0, 1, 2, 7, 300])) for _ in range(40)]
+    assert tfrecord.masked_crcs(messages).tolist() == [plain_crc(m) for m in messages]
+    numbers = [0, 1, 127, 128, 300, 2**14, 2**35, 2**63 - 1, -1, -100, -(2**63)]
+    body, ends = tfrecord.varints(np.array(numbers))
+    assert tfrecord.whole_numbers(body).tolist() == numbers and body[: ends[4]] == b"\x00\x01\x7f\x80\x01\xac\x02"
+    features = {"data": numbers, "label": [], "pinyin": None}
+    back = tfrecord.parse(tfrecord.serialize(features))
+    assert {k: v.tolist() for k, v in back.items()} == {"data": numbers, "label": []}
+    columns = {"data": pa.array([[1, 2], [], [-3]]), "label": pa.array([None, [5], []], pa.list_(pa.int64()))}
+    assert tfrecord.serialized(columns) == [tfrecord.serialize({c: columns[c][i].as_py() for c in columns}) for i in range(3)]
+    # unpacked numbers are read, too
+    loose = tfrecord._field(1, tfrecord._entry("data", b"")[:0] + tfrecord._field(1, tfrecord._field(1, b"data") + tfrecord._field(2, tfrecord._field(3, b"\x08\x05\x08\x07"))))
+    assert tfrecord.parse(loose)["data"].tolist() == [5, 7]
+    whole = tfrecord.framed(messages)
+    assert [m for some in tfrecord.unframed(io.BytesIO(whole)) for m in some] == messages
+    for broken in (whole[:-1], whole[:5], bytes([whole[0] ^ 1]) + whole[1:], whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]):
+        with pytest.raises(ValueError):
+            list(tfrecord.unframed(io.BytesIO(broken)))
+
+
+def test_record_files(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"f{i // 3}.tfrecord.gz", [i, i + 1]) for i in range(7)], "pos long, file string, data array<long>")
     folder = f"file://{tmp_path}/out"
     written = tfrecord.write(rows, folder, "file", "pos").collect()
@@ -129,10 +161,33 @@ def test_record_files(spark, tmp_path):
     assert [(r.file, r.pos, r.data) for r in back.orderBy("file", "pos").collect()][4] == ("f1.tfrecord.gz", 1, [4, 5])
     whole = tfrecord.defaults(back, 4).where("data[0] = 4").first()
     assert (whole.data, whole.attention_mask, whole.label) == ([4, 5, 0, 0], [1, 1, 0, 0], [4, 5, -100, -100])
-    broken = bytearray(gzip.decompress(open(f"{tmp_path}/out/f0.tfrecord.gz", "rb").read()))
-    broken[14] ^= 1
-    with pytest.raises(ValueError):
-        list(tfrecord.unframed(bytes(broken)))
+
+
+def test_record_source(spark, tmp_path, monkeypatch):
+    """Files of so many records in the order of rows, counts beside them, and only the features that are asked for."""
+    tfrecord.register(spark)
+    at = f"{tmp_path}/records"
+    rows = spark.range(0, 95, 1, 4).select(F.sequence(F.lit(0), F.col("id") % 7).cast("array<int>").alias("data"), F.when(F.col("id") % 2 == 0, F.array(F.col("id"))).alias("label"), F.lit("x").alias("other"))
+    rows.write.format(tfrecord.FORMAT).option("items", 10).mode("overwrite").save(at)
+    told = json.load(open(f"{at}/meta.json"))
+    assert told == {"padding_shape": 7, "count": 95, "files": [f"{i:08d}.tfrecord.gz" for i in range(12)], "compression_type": "GZIP", "has_attention_mask": False, "has_label": True}
+    back = tfrecord.read(spark, at).orderBy("file", "pos").collect()
+    assert [(r.data, r.label, r.pinyin) for r in back] == [(list(range(i % 7 + 1)), [i] if i % 2 == 0 else None, None) for i in range(95)]
+    only = spark.read.format(tfrecord.FORMAT).schema("label array<bigint>").load(at)
+    assert only.columns == ["label"] and only.where("label is not null").count() == 48
+    with pytest.raises(Exception, match="already"):
+        rows.write.format(tfrecord.FORMAT).mode("append").save(at)
+    rows.limit(3).write.format(tfrecord.FORMAT).mode("overwrite").save(at)
+    assert tfrecord.read(spark, at).count() == 3 and len([f for f in os.listdir(at) if not f.startswith(".")]) == 2
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    tfrecord.register(spark)
+    at = f"{tmp_path}/records"
+    bad = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") == 3500, F.raise_error(F.lit("no"))).otherwise(F.array("id")).alias("data"))
+    with pytest.raises(Exception):
+        bad.write.format(tfrecord.FORMAT).mode("overwrite").save(at)
+    assert not os.path.exists(at) or os.listdir(at) == []
 
 
 def test_stream_packs_like_a_pool(spark, tmp_path):
