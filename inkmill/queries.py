@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import arithmetic, arrays
 from inkmill.functions import text as T
-from inkmill.operators import masks, offsets, packing, plugins, records, scoring, tokenizer, vocabulary
+from inkmill.operators import masks, packing, plugins, records, scoring, tokenizer, vocabulary
+from inkmill.sources import files, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -540,28 +539,35 @@ def q_sample_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.sample_text(F.replace("text", F.lit("\n"), F.lit(T.SEP))).alias("out"), T.preview("text").alias("preview"), F.reverse("text").alias("back"))
 
 
+#: Documents of a file that a stream reads, and of a batch of it.
+FILE_DOCS, BATCH_DOCS = 100, 450
+
+
+def _replayed(spark, sf_dir, root: str, epochs: int):
+    """The documents of a table as a stream: written as files in the order of doc_id, read in that order in batches."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    # a file's name tells its place: ranges of documents follow one another
+    docs.repartitionByRange(max(2, -(-docs.count() // FILE_DOCS)), "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{root}/in")
+    read = replay.replay(spark, f"{root}/in", "doc_id long, text string", BATCH_DOCS, epochs)
+    return read.select("epoch", "place", T.framed(T.tokens("text")).alias("tokens"))
+
+
+def _streamed(spark, sf_dir, epochs: int):
+    from inkmill.streaming import packing as stream
+
+    root = files.shared_folder(spark, "stream")
+    sink = stream.Sink(f"{root}/out", f"{root}/rest", N, STRIDE, order="place", epochs="epoch")
+    stream.run_until_idle(_replayed(spark, sf_dir, root, epochs), sink, f"{root}/query", epochs)
+    return spark.read.schema("epoch int, w long, tokens array<string>").parquet(f"{root}/out")
+
+
 @query(_pack_sql(N, STRIDE))
 def q_stream_pack(spark, sf_dir):
-    """The documents of a table as a stream: written as text files in a folder, packed as they are read.
+    """Windows of the documents as a stream of several batches."""
+    return _hashed(_streamed(spark, sf_dir, 1))
 
-    Files are dated one after the other, since a file stream comes in the order of modification times.
-    """
-    from inkmill.streaming import packing as stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='inkmill-stream-')}"
-    per = 50
-    # a file holds many documents, set apart by a sign; rows of one task keep their order
-    placed = offsets.numbered(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "at")
-    files = placed.withColumn("file", F.format_string("%08d.txt", F.floor(F.col("at") / per)))
-    grouped = files.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("docs"))
-    grouped.select("file", F.array_join(F.col("docs.text"), "\x02").alias("value")).write.mode("overwrite").parquet(f"{root}/in")
-    source = spark.readStream.schema("file string, value string").parquet(f"{root}/in")
-    framed = F.flatten(F.transform(F.split("value", "\x02"), lambda t: T.framed(T.tokens(t))))
-    rows = stream.windows(source.select(F.col("file").alias("path"), framed.alias("tokens")), N, STRIDE)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.ROCKS)
-    run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return _hashed(spark.read.parquet(f"{root}/out"))
+@query(_pack_sql(N, STRIDE, "epoch", "SELECT d.*, CAST(e AS INTEGER) AS epoch FROM documents d, range(2) r(e)"))
+def q_stream_replay(spark, sf_dir):
+    """The same in two epochs, of which none's rest reaches into the next."""
+    return _hashed(_streamed(spark, sf_dir, 2), "epoch")

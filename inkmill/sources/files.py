@@ -6,6 +6,8 @@ Paths go through the Hadoop file system of the session, so any store that Spark
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +29,16 @@ def _fs(spark: SparkSession, path: str):
     return jvm, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that driver and executors share, as spark.checkpoint.dir names it; a local one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix=f'inkmill-{kind}-')}"
+
+
 def listing(spark: SparkSession, path: str, end: str = ".txt") -> list[str]:
     """Files below a folder whose names have this end, in the order of their paths."""
     _, fs, at = _fs(spark, path)

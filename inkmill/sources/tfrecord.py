@@ -372,6 +372,11 @@ class _Writer(DataSourceArrowWriter):
         fs.FileSystem.from_uri(self.folder)[0].delete_dir(self.passing)
 
 
+def as_uri(path: str) -> str:
+    """A path with its store, as pyarrow wants it."""
+    return f"file://{path}" if path.startswith("/") else path.replace("file:///", "file:/").replace("file:/", "file:///")
+
+
 class RecordSource(DataSource):
     """Options: path, and `items`, the records of a file at most."""
 
@@ -389,8 +394,7 @@ class RecordSource(DataSource):
         return _Writer(self._folder(), schema, overwrite, int(self.options.get("items", ITEMS_PER_FILE)))
 
     def _folder(self) -> str:
-        path = self.options["path"]
-        return path if "://" in path or path.startswith("file:") else f"file://{path}"
+        return as_uri(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:

@@ -5,11 +5,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from inkmill.functions import text as T
-from inkmill.sources import files, tfrecord
+from inkmill.sources import files, replay, tfrecord
 from inkmill.streaming import packing as stream
 from tests.test_operators import pool
 
@@ -198,10 +199,98 @@ def test_stream_packs_like_a_pool(spark, tmp_path):
     run = lambda: stream.pack_once(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", 4, 3)
     expected = pool([[T.BOS, *t.split(), T.EOS] for t in texts], 4, 3)
     assert [r.tokens for r in run().orderBy("w").collect()] == expected
+    assert len([d for d in os.listdir(f"{tmp_path}/out") if d.startswith("batch=")]) == 3
     # what comes later goes on where the stream stopped
     write(f"{tmp_path}/in/9.txt", "p q r s")
     expected = pool([[T.BOS, *t.split(), T.EOS] for t in [*texts, "p q r s"]], 4, 3)
-    assert [r.tokens for r in run().orderBy("w").collect()] == expected
+    got = run().orderBy("w")
+    assert [r.tokens for r in got.collect()] == expected
+    table = {t: i + 5 for i, t in enumerate("abcdefg")}
+    first = stream.examples(got, table, 1).orderBy("w").first()
+    assert first.data == first.label == [1, 5, 6, 7] and first.attention_mask == [1] * 4
+
+
+def test_batches_that_run_again(spark, tmp_path):
+    """Streams side by side, null and empty token lists, streams that pause; a batch that is done twice changes nothing."""
+    rng = random.Random(4)
+    batches = [[(rng.choice(["x", "y", None]), i * 100 + k, [f"{i}.{k}.{j}" for j in range(rng.choice([0, 1, 5, 30]))]) for k in range(12)] for i in range(4)]
+    batches[2] = [(g, k, None if k % 5 == 0 else t) for g, k, t in batches[2] if g == "x"]
+    sink = stream.Sink(f"{tmp_path}/out", f"{tmp_path}/rest", 7, 4, by=["g"], order="k")
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "g string, k long, tokens array<string>").repartition(3)
+        for _ in range(2):
+            sink(frame, i)
+    got = {}
+    for r in spark.read.schema("g string, w long, tokens array<string>").parquet(f"{tmp_path}/out").orderBy("g", "w").collect():
+        got.setdefault(r.g, []).append((r.w, r.tokens))
+    for g in ("x", "y", None):
+        assert got[g] == list(enumerate(pool([t or [] for rows in batches for h, _, t in rows if h == g], 7, 4)))
+    with pytest.raises(ValueError):
+        stream.Sink("o", "r", 3, 5)
+
+
+def test_sparse_windows_as_a_stream(spark, tmp_path):
+    texts = ["a b c", "d", "e f g h i", "j k", "l m n o"] * 3
+    for i, t in enumerate(texts):
+        write(f"{tmp_path}/in/{i:02d}.txt", t)
+        os.utime(f"{tmp_path}/in/{i:02d}.txt", (1000 + i, 1000 + i))
+    was = spark.conf.get(stream.STATE_KEY)
+    spark.conf.set(stream.STATE_KEY, stream.ROCKS)
+    try:
+        rows = stream.windows(stream.read_files(spark, f"{tmp_path}/in", 4), 3, 7)
+        rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(stream.STATE_KEY, was)
+    assert [r.tokens for r in spark.read.parquet(f"{tmp_path}/out").orderBy("w").collect()] == pool([[T.BOS, *t.split(), T.EOS] for t in texts], 3, 7)
+
+
+def test_offsets_of_a_replay():
+    sizes = [3, 0, 5, None, 2]
+    at, seen = (0, 0, 0), []
+    for _ in range(12):
+        end = replay.advanced(at, sizes, 4, 2)
+        seen += list(replay.between(at, end, sizes))
+        at = end
+    assert at == (2, 0, 0) and replay.advanced(at, sizes, 4, 2) == at
+    for e in (0, 1):
+        rows = [(f, i) for k, f, a, b in seen if k == e for i in (range(a, b) if b is not None else ["all"])]
+        assert rows == [(f, i) for f, n in enumerate(sizes) for i in (range(n) if n is not None else ["all"])]
+    assert replay.advanced((0, 0, 0), [0, 0], 4, None) == (0, 0, 0) and replay.advanced((0, 0, 0), [], 4, None) == (0, 0, 0)
+    assert replay.advanced((5, 1, 2), [1, 9], 3, None) == (5, 1, 5)
+
+
+def test_replay_goes_on_in_mid_epoch(spark, tmp_path):
+    """Two runs of one query over an endless replay, stopped and started again: no row is lost or comes twice."""
+    for i in range(3):
+        pq.write_table(pa.table({"x": list(range(i * 10, i * 10 + 7)), "other": ["o"] * 7}), f"{tmp_path}/part-{i}.parquet")
+    seen = []
+
+    def note(rows, batch):
+        seen.append((batch, sorted((r.epoch, r.place >> 40, r.x) for r in rows.collect())))
+
+    for wanted in (4, 11):
+        read = replay.replay(spark, str(tmp_path), "x long", 4)
+        query = read.writeStream.foreachBatch(note).option("checkpointLocation", f"{tmp_path}/_state").start()
+        while len({b for b, _ in seen}) < wanted and not query.awaitTermination(0.2):
+            pass
+        query.stop()
+    rows = [r for b, some in sorted(dict(seen).items()) for r in some]
+    every = [(e, i, i * 10 + k) for e in range(9) for i in range(3) for k in range(7)]
+    assert len(rows) > 30 and rows == every[: len(rows)]
+
+
+def test_replay_ends_when_no_window_fills(spark, tmp_path):
+    """Epochs do not share a window; an endless replay of too few tokens ends, one that is told its epochs packs them all."""
+    tfrecord.register(spark)
+    spark.createDataFrame([([1, 2, 3],), ([4, 5],), ([6],)], "data array<long>").coalesce(1).write.format(tfrecord.FORMAT).mode("overwrite").save(f"{tmp_path}/few")
+    read = lambda epochs=None: replay.replay(spark, f"{tmp_path}/few", "data array<bigint>", 2, epochs).withColumn("tokens", F.col("data").cast("array<string>"))
+    sink = stream.Sink(f"{tmp_path}/out", f"{tmp_path}/rest", 7, 7, order="place", epochs="epoch")
+    stream.run_until_idle(read(), sink, f"{tmp_path}/query")
+    assert sink.idle and spark.read.schema("epoch int, w long, tokens array<string>").parquet(f"{tmp_path}/out").count() == 0
+    sink = stream.Sink(f"{tmp_path}/out2", f"{tmp_path}/rest2", 4, 2, order="place", epochs="epoch")
+    stream.run_until_idle(read(3), sink, f"{tmp_path}/query2", 3)
+    got = spark.read.schema("epoch int, w long, tokens array<string>").parquet(f"{tmp_path}/out2").orderBy("epoch", "w").collect()
+    assert [(r.epoch, r.w, "".join(r.tokens)) for r in got] == [(e, w, t) for e in range(3) for w, t in enumerate(["1234", "3456"])]
 
 
 def test_markup_in_plans_is_plain_columns(spark):
