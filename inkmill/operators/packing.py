@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.operators.offsets import running
+from inkmill.operators.offsets import ranges, running
 
 
 #: Documents in a range of the running total: fewer than where only lengths are summed.
@@ -64,30 +65,93 @@ def starts(lengths: Iterable[int], n: int, stride: int) -> Iterator[int]:
             at = min(at + stride, loaded)
 
 
-def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int, by: Sequence[str]) -> DataFrame:
-    """Windows further apart than they are long: their starts follow one another, so the lengths of each
-    group, and only they, are read in order by one task that holds a batch of them at a time."""
+def _followed(rest: np.ndarray, length: int, n: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """starts() for one document and many rests at once: (tokens behind the next start, windows)."""
+    rest = rest + length
+    made = np.where(rest >= n, (rest - n) // stride + 1, 0)
+    return np.maximum(rest - made * stride, 0), made
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, at, len) of the runs of rows (range, at, len) of one range; a range may come in several runs."""
+    for batch in batches:
+        number, at, length = (c.to_numpy() for c in batch.columns)
+        cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True][: len(number) + 1]) if len(number) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, [*cuts[1:], len(number)]):
+            if a < b:
+                yield int(number[a]), at[a:b], length[a:b]
+
+
+def _passages(n: int, stride: int):
+    """mapInArrow function: what each range makes of any rest: the rest behind it, and the windows, for rests of 0 to n - 1 tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rests, which, made = None, None, None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([rests[which].tolist()], pa.list_(pa.int64())), pa.array([made.tolist()], pa.list_(pa.int64()))], names=["range", "rests", "made"])
+
+        for number, _, length in _by_range(batches):
+            if number != now:
+                if now is not None:
+                    yield row()
+                now, rests, which, made = number, np.arange(n), np.arange(n), np.zeros(n, np.int64)
+            for size in length:
+                rests, more = _followed(rests, int(size), n, stride)
+                made += more[which]
+                # once two rests have met they stay together: soon few are left to follow
+                if len(rests) > 1:
+                    rests, met = np.unique(rests, return_inverse=True)
+                    which = met[which]
+        if now is not None:
+            yield row()
+
+    return run
+
+
+def _begun(placed: DataFrame, n: int, stride: int, rows: int) -> DataFrame:
+    """w, start of windows further apart than they are long, over documents (at, len) of some tokens each.
+
+    Before a range of documents less than n tokens wait behind the next start, so what the range does is told by n
+    numbers, whatever comes before it. These are put one behind the other, range by range, and give each
+    range its first rest and window; then all ranges follow their own windows side by side.
+    """
+    dealt = placed.select(ranges(placed, "at", rows).alias("range"), "at", "len")
+    ordered = dealt.repartition("range").sortWithinPartitions("range", "at")
+    # as many rows as there are ranges, of n numbers each
+    told = sorted(ordered.mapInArrow(_passages(n, stride), "range long, rests array<long>, made array<long>").collect())
+    rest, w, heads = 0, 0, {}
+    for r in told:
+        heads[r.range] = (rest, w)
+        rest, w = r.rests[rest], w + r.made[rest]
+    shared = placed.sparkSession.sparkContext.broadcast(heads)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, w = None, 0, 0
+        for number, at, length in _by_range(batches):
+            if number != now:
+                now, (rest, w) = number, shared.value[number]
+            out = []
+            for a, size in zip(at.tolist(), length.tolist()):
+                after, made = _followed(np.array([rest]), size, n, stride)
+                out += [a - rest + i * stride for i in range(int(made[0]))]
+                rest = int(after[0])
+            yield pa.RecordBatch.from_arrays([pa.array(range(w, w + len(out)), pa.int64()), pa.array(out, pa.int64())], names=["w", "start"])
+            w += len(out)
+
+    return ordered.mapInArrow(follow, "w long, start long")
+
+
+def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int, by: Sequence[str], rows: int = ROWS_IN_RANGE) -> DataFrame:
+    """Windows further apart than they are long: each start depends on the one before and on where documents end."""
     if by:
         raise ValueError("strides beyond the window length are for one stream")
-    sized = docs.select(key, F.size(tokens).cast("long").alias("len"))
-
-    def follow(batches):
-        loaded, at, w = 0, 0, 0
-        for pdf in batches:
-            rows = []
-            for length in pdf["len"]:
-                loaded += int(length)
-                while loaded - at >= n:
-                    rows.append((w, at))
-                    at, w = min(at + stride, loaded), w + 1
-            yield pd.DataFrame(rows, columns=["w", "start"], dtype="int64")
-
-    begun = sized.repartition(1).sortWithinPartitions(key).select("len").mapInPandas(follow, "w long, start long")
-    placed = running(sized, key, "len", "at").drop("_total")
-    met = docs.select(key, F.col(tokens).alias("tokens")).join(placed, key)
+    sized = docs.select(key, F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("len"))
+    met = running(sized, key, "len", "at", rows=rows).where("len > 0")
+    begun = _begun(met.select("at", "len"), n, stride, rows)
     # windows and documents meet in cells of n tokens; either touches few cells
     cells = begun.select("w", "start", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + n - 1) / n))).alias("cell"))
-    shelves = met.where("len > 0").select("tokens", "at", "len", F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((F.col("at") + F.col("len") - 1) / n))).alias("cell"))
+    shelves = met.select("tokens", "at", "len", F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((F.col("at") + F.col("len") - 1) / n))).alias("cell"))
     pieces = shelves.join(cells, "cell").where("start < at + len and start + %d > at" % n)
     a = F.greatest(F.col("start") - F.col("at"), F.lit(0))
     b = F.least(F.col("start") + n - F.col("at"), F.col("len"))

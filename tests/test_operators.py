@@ -207,3 +207,19 @@ def test_ranges_are_bounded(spark, monkeypatch):
     frame = spark.range(5000).withColumn("v", F.lit(1))
     assert offsets._dealt(frame, "id", 10)[0].select("_range").distinct().count() <= 6
     assert [r["at"] for r in offsets.numbered(frame, "id", "at", rows=10).orderBy("id").collect()] == list(range(5000))
+
+
+@pytest.mark.parametrize("n,stride", [(3, 7), (6, 20), (8, 9), (1, 5), (10, 400)])
+def test_sparse_windows_over_ranges(spark, n, stride):
+    """Ranges of a few documents, each followed on its own from what those before it leave."""
+    random.seed(n + stride)
+    lengths = [random.choice([0, 0, 1, 2, 5, 9, 23, 90]) for _ in range(120)]
+    documents, at = [], 0
+    for k in lengths:
+        documents.append([str(i) for i in range(at, at + k)])
+        at += k
+    frame = spark.createDataFrame(list(enumerate(documents)), "k long, tokens array<string>").repartition(3)
+    got = packing._sparse_windows(frame, "k", "tokens", n, stride, [], 5).orderBy("w").collect()
+    assert [r.tokens for r in got] == pool(documents, n, stride)
+    assert [int(r.tokens[0]) for r in got] == list(packing.starts(lengths, n, stride))
+    assert [r.w for r in got] == list(range(len(got)))
