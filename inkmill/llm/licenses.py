@@ -6,12 +6,20 @@ rule whose identifiers stand there, one behind the other, names a licence and co
 come first, so that a whole notice is one finding and its single sentences are not found again.
 
 A sentence ends with a full stop, question or exclamation mark before white space, or with a line. As
-licence texts are also wrapped, a paragraph's lines are joined as well; a sentence found both ways counts
-once. Normalising drops comment signs, lower-cases, and turns all else but letters and digits into single
-spaces. Sentences that are no licence sentence may stand between the identifiers of one rule.
+licence texts are also wrapped, a paragraph's lines are joined as well, and two lines of a title; and as they are written
+in one run, too, semicolons, colons and the ends of addresses also end one, and a long known sentence also counts
+behind a title or a name that runs on into it. What is found in several of these ways
+counts once. Normalising drops comment signs and mark-up, lower-cases, and turns all else but letters and digits into
+single spaces. Sentences that are no licence sentence may stand between the identifiers of one rule.
+
+Besides whole sentences there are three forms with a gap: sentences with any organisation's name in them (`GAPS`),
+those that put a work under a licence by its name or are its title (`NAMES`), and declarations, a line of
+`License:` or `SPDX-License-Identifier:` before an expression of public identifiers with OR, AND, WITH, `+` and
+parentheses, all of which are given in their order. The name alone never counts within other text.
 
 Defined results: null, empty and licence-free texts have no findings and one row; equal texts have equal
-findings; a sentence that repeats is found each time; a table without rows gives none.
+findings; a sentence that repeats is found each time; an expression with an unknown identifier is none; a table
+without rows gives none.
 """
 
 from __future__ import annotations
@@ -126,12 +134,68 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-ref",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "all rights reserved": "reserved",
+    "apache license version 2 0 january 2004": "apache2-title",
 }
+# Beginning and end of sentences with a name between.
+GAPS = (
+    ("neither the name of ", " may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("the name of ", " may not be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("neither the names of ", " may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("all advertising materials mentioning features or use of this software must display the following acknowledgement", "", "bsd-advert"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation ", " provided with the distribution", "bsd-binary"),
+)
+# Licences by their public identifiers, each with names it goes by, normalised.
+PLAIN_NAMES = {
+    "MIT": ("mit", "expat"), "MIT-0": ("mit no attribution", "mit 0"), "Apache-2.0": ("apache", "apache 2 0", "apache 2", "apache v2", "apache license 2 0", "apache license v2 0", "apache license version 2 0", "apache software license 2 0"),
+    "Apache-1.1": ("apache software license 1 1", "apache license version 1 1"), "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"), "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"),
+    "BSD-4-Clause": ("bsd 4 clause", "4 clause bsd", "original bsd"), "0BSD": ("0bsd", "zero clause bsd", "bsd zero clause"), "ISC": ("isc",), "Zlib": ("zlib",), "X11": ("x11",), "NCSA": ("university of illinois ncsa open source",), "PostgreSQL": ("postgresql",),
+    "Artistic-1.0": ("artistic license 1 0", "artistic"), "Artistic-2.0": ("artistic license 2 0", "artistic 2 0", "artistic license version 2 0"), "WTFPL": ("wtfpl", "do what the fuck you want to public license"), "Unlicense": ("unlicense",), "CC0-1.0": ("cc0 1 0", "cc0", "cc0 1 0 universal", "creative commons zero"),
+    "MPL-1.1": ("mozilla public license 1 1", "mozilla public license version 1 1", "mpl 1 1"), "MPL-2.0": ("mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0", "mpl 2 0"), "EPL-1.0": ("eclipse public license 1 0", "eclipse public license version 1 0", "epl 1 0"),
+    "EPL-2.0": ("eclipse public license 2 0", "eclipse public license version 2 0", "epl 2 0"), "BSL-1.0": ("boost software license 1 0", "boost software license version 1 0", "boost software"), "EUPL-1.2": ("european union public licence 1 2", "european union public licence v 1 2", "eupl 1 2"),
+    "OSL-3.0": ("open software license 3 0", "open software license version 3 0"), "AFL-3.0": ("academic free license 3 0", "academic free license version 3 0"), "MS-PL": ("microsoft public license", "ms pl"), "MS-RL": ("microsoft reciprocal license", "ms rl"), "CDDL-1.0": ("common development and distribution license 1 0", "cddl 1 0"),
+    "OFL-1.1": ("sil open font license 1 1", "sil open font license version 1 1", "open font license"), "UPL-1.0": ("universal permissive license 1 0", "upl 1 0"), "PSF-2.0": ("python software foundation license version 2", "psf"), "Python-2.0": ("python license 2 0",), "Ruby": ("ruby",), "Vim": ("vim",), "ODbL-1.0": ("open database license 1 0", "odbl"),
+    "JSON": ("json",), "curl": ("curl",), "Libpng": ("libpng",), "OpenSSL": ("openssl",), "PHP-3.01": ("php license version 3 01", "php 3 01"), "W3C": ("w3c software notice and license", "w3c"), "ZPL-2.1": ("zope public license 2 1", "zpl 2 1"), "BlueOak-1.0.0": ("blue oak model license 1 0 0",), "CPL-1.0": ("common public license 1 0",), "IPL-1.0": ("ibm public license 1 0",), "LPPL-1.3c": ("latex project public license 1 3c",), "HPND": ("historical permission notice and disclaimer",), "SSPL-1.0": ("server side public license version 1",), "BUSL-1.1": ("business source license 1 1",), "Elastic-2.0": ("elastic license 2 0",), "MulanPSL-2.0": ("mulan permissive software license version 2",),
+}
+
+
+def _names() -> tuple[dict[str, str], dict[str, str]]:
+    """(licences by their names, public identifiers by their lower case); families by version are put together here."""
+    names = {n: i for i, some in PLAIN_NAMES.items() for n in some}
+    ids = {i.lower(): i for i in PLAIN_NAMES}
+    for short, long, versions in (("GPL", "gnu general public license", ("1.0", "2.0", "3.0")), ("LGPL", "gnu lesser general public license", ("2.1", "3.0")), ("LGPL", "gnu library general public license", ("2.0",)), ("AGPL", "gnu affero general public license", ("3.0",))):
+        for v in versions:
+            only = f"{short}-{v}-only"
+            ids |= {f"{short}-{v}".lower(): only, only.lower(): only, f"{short}-{v}-or-later".lower(): f"{short}-{v}-or-later", f"{short}-{v}+".lower(): f"{short}-{v}-or-later"}
+            said = v.removesuffix(".0").replace(".", " ")
+            for name in (long, long.removeprefix("gnu "), short.lower(), f"gnu {short.lower()}"):
+                for end in (f" version {said}", f" v {said}", f" v{said}", f" {said}", f"v{said}", *([f" {said} 0", f" v{said} 0", f" version {said} 0"] if " " not in said else [])):
+                    names |= {f"{name}{end}": only, f"{name}{end} or later": f"{short}-{v}-or-later", f"{name}{end} only": only}
+    # The parts of these licences' names
+    parts = {"BY": "attribution", "SA": "sharealike", "NC": "noncommercial", "ND": "noderivatives"}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            spdx, said = f"CC-{kind}-{v}", v.replace(".", " ")
+            ids[spdx.lower()] = spdx
+            for name in (f"cc {kind.lower().replace('-', ' ')} {said}", f"creative commons {' '.join(parts[p] for p in kind.split('-'))} {said}"):
+                names |= {name: spdx, f"{name} international": spdx, f"{name} unported": spdx}
+    return names, ids
+
+
+NAMES, IDS = _names()
+#: Titles that say for themselves that they are licences.
+TELLING = re.compile(r"licen[cs]e|^(?:0bsd|wtfpl|cc0.*|creative commons .*)$")
+UNDER = re.compile(r"^(?:(?:this|the|these|all|our|my) (?:[^\W_]+ ){1,4}?(?:is|are) |it is )?(?:dual |free software )?(?:licensed|released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?(?:a )?")
+LAST_WORD = re.compile(r" licen[cs]e$")
+DECLARED = re.compile(r"(?i)^[\W_]*(?:SPDX-License-Identifier|licen[cs]e)[\"']?\s*[:=]\s*[\"'`]?([(A-Za-z0-9][A-Za-z0-9.+() -]*[A-Za-z0-9.+)])[\W_]*$")
+WORD = re.compile(r"[A-Za-z0-9.+-]+|[()]")
+# Exceptions that stand behind WITH.
+EXCEPTIONS = frozenset(("classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "bison-exception-2.2", "autoconf-exception-3.0", "font-exception-2.0", "linux-syscall-note", "openssl-exception", "swift-exception", "universal-foss-exception-1.0"))
 # Licences and the identifiers that name them, in the order in which they are tried.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("Apache-2.0", ("apache2-licensed", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-limits")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty", "gpl-details")),
@@ -180,19 +244,39 @@ RULES = (
     ("CC-BY-ND-4.0", ("ccbynd4-ref",)),
     ("Unlicense", ("unlicense-grant",)),
     ("all-rights-reserved", ("reserved",)),
+    *((spdx, (f"id:{spdx}",)) for spdx in sorted({*IDS.values(), *NAMES.values()})),
 )
+FIRST_RULES: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+for _rule in RULES:
+    FIRST_RULES.setdefault(_rule[1][0], []).append(_rule)
 COMMENT = re.compile(r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--|\"\"\")[ \t]?")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
 STOP = re.compile(r"[.!?](?=\s|$)|[:;](?=\s*(?:\n|$))")
 OTHER = re.compile(r"[\W_]+")
 LINE = re.compile(r"[^\n]+")
-FIRST_WORDS = frozenset(s.split()[0] for s in SENTENCES)
+#: Ends of sentences in texts without lines.
+INNER = re.compile(r"https?://\S+|[.!?](?=\s|$)|[;:](?!//)")
+#: Full stops of shortened words end no sentence that has an organisation's name in it.
+NO_STOP = re.compile(r"(?<!\b[Ii][Nn][Cc])(?<!\b[Ll][Tt][Dd])(?<!\b[Cc][Oo])(?<!\b[Cc][Oo][Rr][Pp])(?<!\b[A-Z])[.!?](?=\s|$)|[:;](?=\s*(?:\n|$))")
+#: What texts have that are looked at for sentences cut otherwise than by lines and full stops.
+HINT = re.compile(r"(?i)licen[cs]|copyright|permi|redistribut|warrant|software|liable")
+TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+#: Known sentences of more than so many characters by these at their end, and the longest of them.
+LONG_END = 80
+ENDINGS: dict[str, list[str]] = {}
+for _known in sorted(SENTENCES, key=len, reverse=True):
+    if len(_known) > LONG_END:
+        ENDINGS.setdefault(_known[-LONG_END:], []).append(_known)
+LONGEST = max(map(len, SENTENCES))
+#: Two lines that are one title, at most.
+TITLE = 160
+FIRST_WORDS = frozenset(s.split()[0] for s in (*SENTENCES, *(g[0] for g in GAPS), *NAMES)) | frozenset("the a this these all our my it dual free licensed released distributed available published provided made".split())
 FIRST = re.compile(r"[^\W_]+")
 
 
-def _sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+def _sentences(text: str, start: int, end: int, stops: re.Pattern = STOP) -> Iterator[tuple[int, int]]:
     at = start
-    for stop in STOP.finditer(text, start, end):
+    for stop in stops.finditer(text, start, end):
         yield at, stop.end()
         at = stop.end()
     if at < end:
@@ -203,39 +287,130 @@ def normalise(sentence: str) -> str:
     return OTHER.sub(" ", sentence.lower()).strip()
 
 
+def _named(sentence: str) -> str | None:
+    """The licence of a sentence that puts something under it by its name, or that is its title."""
+    under = UNDER.match(sentence)
+    name = sentence[under.end() :] if under else sentence.removeprefix("the ")
+    found = NAMES.get(name) or NAMES.get(LAST_WORD.sub("", name))
+    return found if found and (under or TELLING.search(name)) else None
+
+
 def _identify(text: str, a: int, b: int) -> str | None:
     # most sentences end here: their first word begins no known one
     first = FIRST.search(text, a, b)
-    return SENTENCES.get(normalise(text[a:b])) if first and first[0].lower() in FIRST_WORDS else None
+    if not first or first[0].lower() not in FIRST_WORDS:
+        return None
+    sentence = normalise(text[a:b])
+    if name := SENTENCES.get(sentence):
+        return name
+    for begin, end, name in GAPS:
+        if sentence.startswith(begin) and sentence.endswith(end):
+            return name
+    return f"id:{spdx}" if len(sentence) <= TITLE and (spdx := _named(sentence)) else None
+
+
+def _ending(text: str, a: int, b: int) -> tuple[int, str] | None:
+    """(position, identifier) of a long known sentence at the end of what runs on before it without a stop."""
+    if b - a <= LONG_END:
+        return None
+    words = [m.start() for m in FIRST.finditer(text, max(a, b - 2 * LONGEST), b)]
+    sentence = normalise(text[max(a, b - 2 * LONGEST) : b])
+    for known in ENDINGS.get(sentence[-LONG_END:], ()):
+        if sentence.endswith(f" {known}"):
+            return words[-len(known.split())], SENTENCES[known]
+    return None
+
+
+def expression(text: str) -> list[tuple[int, str]] | None:
+    """(position, licence) of an expression of public identifiers; None if it is none."""
+    found, due, depth, at = [], True, 0, 0
+    exception = False
+    for m in WORD.finditer(text):
+        if text[at : m.start()].strip():
+            return None
+        at, word = m.end(), m[0]
+        if word == "(":
+            if not due or exception:
+                return None
+            depth += 1
+        elif word == ")":
+            if due or exception or not depth:
+                return None
+            depth -= 1
+        elif word.upper() in ("AND", "OR", "WITH"):
+            if due or exception:
+                return None
+            due, exception = word.upper() != "WITH", word.upper() == "WITH"
+        elif exception:
+            if word.lower() not in EXCEPTIONS:
+                return None
+            exception = False
+        else:
+            spdx = IDS.get(word.lower()) or IDS.get(word.lower().removesuffix("+"))
+            if not due or not spdx:
+                return None
+            found.append((m.start(), spdx))
+            due = False
+    return None if due or depth or exception or text[at:].strip() else found
 
 
 def identifiers(text: str | None) -> list[tuple[int, str]]:
     """(position, identifier) of the known sentences of a text, in its order."""
     if not text:
         return []
-    text = COMMENT.sub(lambda m: " " * len(m[0]), text)
-    found: set[tuple[int, str]] = set()
+    blank = lambda m: " " * len(m[0])
+    text = COMMENT.sub(blank, text)
+    if "<" in text:
+        text = TAG.sub(blank, text)
+    found: dict[int, tuple[int, str]] = {}
+    seen: set[tuple[int, int]] = set()
 
     def add(spans: Iterator[tuple[int, int]]) -> None:
         for a, b in spans:
+            if (a, b) in seen:
+                continue
+            seen.add((a, b))
             if name := _identify(text, a, b):
-                found.add((b - len(text[a:b].lstrip()), name))
+                start = b - len(text[a:b].lstrip())
+                # of two that begin at one place the longer one counts
+                if start not in found or found[start][0] < b:
+                    found[start] = (b, name)
 
+    before = None
     for line in LINE.finditer(text):
-        add(_sentences(text, line.start(), line.end()))
+        a, b = line.span()
+        add(_sentences(text, a, b))
+        # a title over two lines
+        if before is not None and before[1] + 1 == a and b - before[0] <= TITLE:
+            add(iter([(before[0], b)]))
+        before = (a, b)
+        if "icen" in line[0] and (said := DECLARED.match(line[0])) and not any(a <= start < b for start in found):
+            for at, spdx in expression(said[1]) or ():
+                start = a + said.start(1) + at
+                found[start] = (start + 1, f"id:{spdx}")
     at = 0
-    for gap in PARAGRAPH.finditer(text):
-        add(_sentences(text, at, gap.start()))
-        at = gap.end()
-    add(_sentences(text, at, len(text)))
-    return sorted(found)
+    hinted = HINT.search(text)
+    for end, after in [*((gap.start(), gap.end()) for gap in PARAGRAPH.finditer(text)), (len(text), len(text))]:
+        for stops in (STOP, INNER, NO_STOP) if hinted else (STOP,):
+            add(_sentences(text, at, end, stops))
+        for a, b in _sentences(text, at, end, INNER) if hinted else ():
+            if (hit := _ending(text, a, b)) and not any(start <= hit[0] < stop for start, (stop, _) in found.items()):
+                found[hit[0]] = (b, hit[1])
+        at = after
+    out, behind = [], 0
+    for start, (end, name) in sorted(found.items()):
+        # a line within a longer known sentence is none of its own
+        if end > behind:
+            out.append((start, name))
+            behind = end
+    return out
 
 
 def licences(names: list[str]) -> list[str]:
     """The licences that the rules read from a sequence of identifiers."""
     out, at = [], 0
     while at < len(names):
-        for licence, rule in RULES:
+        for licence, rule in FIRST_RULES.get(names[at], ()):
             if tuple(names[at : at + len(rule)]) == rule:
                 out.append(licence)
                 at += len(rule)

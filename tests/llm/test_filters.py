@@ -65,6 +65,87 @@ def test_licence_rules():
     assert found("not Released under the MIT Licence") == [] == found(None) == found("")
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+3. Neither the name of %s nor the names of its contributors may
+   be used to endorse or promote products derived from this software without
+   specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_licences_however_they_are_set():
+    one_run = lambda t: " ".join(t.split())
+    for name in ("Google Inc.", "the copyright holder", "Some University of the North"):
+        for text in (BSD + ENDORSE % name, one_run(BSD + ENDORSE % name), "\n".join(f" * {x}" for x in (BSD + ENDORSE % name).split("\n"))):
+            assert found(text) == ["BSD-3-Clause"], text
+    assert found(BSD) == found(one_run(BSD)) == ["BSD-2-Clause"]
+    advert = "\n3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement: This product includes it."
+    assert found(BSD + advert + ENDORSE % "X") == ["BSD-4-Clause"]
+    for text in (APACHE, one_run(APACHE), "\n".join(f"# {x}" for x in APACHE.split("\n")), APACHE.replace("\n\n", "\n")):
+        assert found(text) == ["Apache-2.0"], text
+    assert found(one_run(MIT)) == ["MIT"]
+    assert found("Apache License\nVersion 2.0, January 2004") == ["Apache-2.0"]
+
+
+def test_licences_by_name_and_identifier():
+    for text, wanted in (
+        ("License: MIT", ["MIT"]),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND cc-by-nc-sa-4.0 */", ["GPL-2.0-or-later", "CC-BY-NC-SA-4.0"]),
+        ('  "license": "ISC",', ["ISC"]),
+        ("SPDX-License-Identifier: 0BSD", ["0BSD"]),
+        ("SPDX-License-Identifier: CC-BY-NC-4.0", ["CC-BY-NC-4.0"]),
+        ("<b>MIT License</b>", ["MIT"]),
+        ("Artistic License 2.0", ["Artistic-2.0"]),
+        ("The PostgreSQL Licence", ["PostgreSQL"]),
+        ("WTFPL", ["WTFPL"]),
+        ("This library is licensed under the GNU Lesser General Public License v2.1 or later.", ["LGPL-2.1-or-later"]),
+        ("Our own code is available under the terms of the Mozilla Public License, version 2.0.", ["MPL-2.0"]),
+        ("It is released under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]),
+        ("Distributed under the GPLv3 or later.", ["GPL-3.0-or-later"]),
+    ):
+        assert found(text) == wanted, text
+    for text in ("License: see below", "License: MIT or not", "SPDX-License-Identifier: MIT AND", "SPDX-License-Identifier: Foo-1.0", "vim", "curl", "MIT", "apache", "json", "He has a license: to kill", "we are under the mit", "a license for ruby", "SPDX-License-Identifier: (Zlib OR MIT", "the terms (MIT License) apply"):
+        assert found(text) == [], text
+
+
+def test_cuts_against_plain_ones():
+    """Known sentences in a row, wrapped anywhere, between other sentences: all are found, in their order, and nothing else."""
+    random.seed(4)
+    known = [s for s in licenses.SENTENCES if len(s.split()) > 3 and "http" not in s]
+    for _ in range(60):
+        words, wanted = [], []
+        for _ in range(random.randint(1, 5)):
+            if random.random() < 0.5:
+                words += [*random.choices(["one", "two", "three", "house"], k=random.randint(2, 9)), "end."]
+            s = random.choice(known)
+            wanted.append(licenses.SENTENCES[s])
+            words += [*s.split()[:-1], s.split()[-1] + random.choice([".", "!", ";", ":"])]
+        text = words[0] + "".join(random.choice([" ", " ", " ", " \n", "\n "]) + w for w in words[1:])
+        got = [n for _, n in licenses.identifiers(text)]
+        # a line of its own may hold a shorter known sentence
+        rest = iter(got)
+        assert all(w in rest for w in wanted), (text, got, wanted)
+        assert len(got) <= len(wanted) + sum(text.count(x) for x in ("mit license", "apache license", "public license", "clause license"))
+
+
 def test_licence_rules_against_plain_matching():
     random.seed(1)
     known = list(licenses.SENTENCES)
