@@ -135,9 +135,13 @@ def marked(text: Column | str, pattern: str, before: str, after_: str) -> Column
 
 
 def split_keeping(text: Column | str, pattern: str) -> Column:
-    """The text cut around matches of one pattern for all rows; the matches are pieces too."""
-    sign = "\x01"
-    return F.split(F.regexp_replace(as_column(text), f"({pattern})", f"{sign}$1{sign}"), sign)
+    """The text cut around matches of one pattern, none of which is empty; the matches are pieces too."""
+    text = as_column(text)
+    # what stands before each match, and the match; behind the last one the rest
+    cut = F.lit(f"(?s)(.*?)({pattern}|\\z)")
+    plain, found = (F.regexp_extract_all(text, cut, i) for i in (1, 2))
+    n = F.size(F.filter(found, lambda m: m != ""))
+    return F.concat(F.flatten(F.zip_with(F.slice(plain, 1, n), F.slice(found, 1, n), lambda p, m: F.array(p, m))), F.slice(plain, n + 1, 1))
 
 
 def edited(text: Column | str, edits: Column | str) -> Column:

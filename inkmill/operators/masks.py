@@ -25,6 +25,25 @@ def visible(spark: SparkSession, n: int, stride: int | None = None, last: int =
     return places.select("q", F.size(seen).cast("long").alias("n_visible"))
 
 
+def visible_at(q: Column, stride: int | None = None, last: int = 1) -> Column:
+    """How many keys place q sees: all up to it, or those of its stretch and the last ones of each earlier stretch."""
+    if not stride:
+        return q + 1
+    return q % stride + 1 + F.floor(q / stride) * min(last, stride)
+
+
+def visible_in(rows: DataFrame, length: str, window: int, stride: int | None = None, last: int = 1) -> DataFrame:
+    """rows with n_visible: the keys that all places of a row of so many tokens see, cut into windows."""
+    # places of a window are few: what they see is added up once for each length of a window
+    sums = [0]
+    for q in range(window):
+        sums.append(sums[-1] + (q + 1 if not stride else q % stride + 1 + q // stride * min(last, stride)))
+    known = F.from_json(F.lit(str(sums)), "array<bigint>")
+    n = F.col(length)
+    whole = F.floor(n / window)
+    return rows.withColumn("n_visible", (whole * sums[window] + F.element_at(known, (n - whole * window + 1).cast("int"))).cast("long"))
+
+
 def cross_entropy(logits: Column | str, label: Column | str) -> Column:
     """log(sum(exp(x))) - x[label], with the greatest value taken out first; null for a label that is to be ignored."""
     x = F.col(logits) if isinstance(logits, str) else logits

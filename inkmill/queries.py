@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkmill.functions import arithmetic, arrays
 from inkmill.functions import text as T
 from inkmill.operators import masks, packing, plugins, records, scoring, tokenizer, vocabulary
-from inkmill.sources import files, replay
+from inkmill.sources import files, replay, tfrecord
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,8 +135,6 @@ def q_sep_tokens(spark, sf_dir):
 
 
 PIECE_SQL = r"regexp_extract_all(replace(lower(strip_accents(text)), chr(10), ' ' || chr(1) || ' '), '[\p{Latin}]+|\p{Han}|[0-9²③]|[^\s\p{Latin}\p{Han}0-9²③]')"
-#: Text that the tables lack: ideographs, full-width signs, marks, odd digits and spaces.
-HAN = ("我爱中国", "我爱，中国！\n第二行", "Việt ά 12３4", "１²③ élan", "　全角　空格 x", "don't 中a中")
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(replace(array_to_string(t, ' '), chr(1), '{T.SEP}')) AS h FROM (SELECT doc_id, {PIECE_SQL} AS t FROM documents)")
@@ -145,16 +143,18 @@ def q_bert_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), md5(joined("t")).alias("h"))
 
 
-HAN_ROWS = ", ".join(f"({i}, '" + t.replace("'", "''") + "')" for i, t in enumerate(HAN))
+#: Letters, digits and signs of the documents, and the ideographs, full-width digits and signs put in their place.
+PLAIN_SIGNS, HAN_SIGNS = "abcdefghijk0123,.", "我爱中国人大天地水火山０１２３，。"
 
 
 @query(
-    rf"""WITH d(id, text) AS (VALUES {HAN_ROWS})
-SELECT CAST(id AS BIGINT) AS id, replace(array_to_string(regexp_extract_all(replace(lower(strip_accents(text)), chr(10), ' ' || chr(1) || ' '), '\p{{Han}}|[\p{{Nd}}²③]|[\p{{Latin}}\p{{Greek}}]+|[^\s\x{{3000}}\x{{a0}}\p{{Latin}}\p{{Greek}}\p{{Han}}\p{{Nd}}²③]'), ' '), chr(1), '{T.SEP}') AS tokens FROM d"""
+    rf"""WITH d AS (SELECT doc_id, translate(text, '{PLAIN_SIGNS}', '{HAN_SIGNS}') AS text FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(text)), chr(10), ' ' || chr(1) || ' '), '\p{{Han}}|[\p{{Nd}}²③]|[\p{{Latin}}\p{{Greek}}]+|[^\s\x{{3000}}\x{{a0}}\p{{Latin}}\p{{Greek}}\p{{Han}}\p{{Nd}}²③]') AS t FROM d)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(replace(array_to_string(t, ' '), chr(1), '{T.SEP}')) AS h FROM t"""
 )
 def q_han_tokens(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(HAN)), "id long, text string")
-    return rows.select("id", joined(tokenizer.tokenized("text")).alias("tokens"))
+    rows = _docs(spark, sf_dir).select("doc_id", tokenizer.tokenized(F.translate("text", PLAIN_SIGNS, HAN_SIGNS)).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), md5(joined("t")).alias("h"))
 
 
 @query("SELECT doc_id, md5(lower(strip_accents(text))) AS h FROM documents")
@@ -484,14 +484,25 @@ def q_metric_accuracy(spark, sf_dir):
     return scoring.arithmetic_accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("SELECT CAST(q AS BIGINT) AS q, CAST(count(*) AS BIGINT) AS n_visible FROM range(512) a(q), range(512) b(k) WHERE k <= q AND (k // 32 = q // 32 OR k % 32 >= 32 - 4) GROUP BY q")
+def _mask_sql(seen: str) -> str:
+    return f"""WITH m AS (SELECT q, count(*) AS n FROM range({T.MODEL_WINDOW}) a(q), range({T.MODEL_WINDOW}) b(k) WHERE {seen} GROUP BY q),
+d AS (SELECT doc_id, unnest(range(len({TOK}) + 2)) % {T.MODEL_WINDOW} AS q FROM documents)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_places, CAST(sum(n) AS BIGINT) AS n_visible FROM d JOIN m USING (q) GROUP BY doc_id"""
+
+
+def _seen(spark, sf_dir, *stretch: int):
+    rows = _framed(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("n_places"))
+    return masks.visible_in(rows, "n_places", T.MODEL_WINDOW, *stretch)
+
+
+@query(_mask_sql("k <= q AND (k // 32 = q // 32 OR k % 32 >= 32 - 4)"))
 def q_sparse_mask(spark, sf_dir):
-    return masks.visible(spark, 512, 32, 4)
+    return _seen(spark, sf_dir, 32, 4)
 
 
-@query("SELECT CAST(q AS BIGINT) AS q, CAST(q + 1 AS BIGINT) AS n_visible FROM range(512) a(q)")
+@query(_mask_sql("k <= q"))
 def q_causal_mask(spark, sf_dir):
-    return masks.visible(spark, 512)
+    return _seen(spark, sf_dir)
 
 
 @query(
@@ -539,6 +550,43 @@ def q_sample_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.sample_text(F.replace("text", F.lit("\n"), F.lit(T.SEP))).alias("out"), T.preview("text").alias("preview"), F.reverse("text").alias("back"))
 
 
+#: Files that rows are written to, one after the other.
+FILES = 5
+
+
+def _in_files(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    return rows.repartitionByRange(FILES, key).sortWithinPartitions(key)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id, i) - 1 AS BIGINT) AS pos, md5(l[i]) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def q_task_lines(spark, sf_dir):
+    """Texts as a folder of text files, read as a task's lines with their places."""
+    folder = files.shared_folder(spark, "lines")
+    _in_files(_docs(spark, sf_dir)).select("text").write.text(folder)
+    return files.load(spark, folder, kind="txt").select("pos", md5(F.col("value")).alias("h"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pos, doc_id, lang, md5(text) AS h FROM documents")
+def q_task_records(spark, sf_dir):
+    """The same as JSON lines, read as a task's records."""
+    folder = files.shared_folder(spark, "records")
+    _in_files(_docs(spark, sf_dir)).write.json(folder)
+    return files.load(spark, folder, "doc_id long, text string, lang string", "jsonl").select("pos", "doc_id", "lang", md5(F.col("text")).alias("h"))
+
+
+@query(f"SELECT doc_id, CAST(len(t) + 1 AS BIGINT) AS n_ids, md5(array_to_string(list_transform(t, lambda x: length(x)), ' ')) AS h, doc_id % 2 = 0 AS labelled FROM (SELECT doc_id, {TOK} AS t FROM documents)")
+def q_record_files(spark, sf_dir):
+    """Documents as record files, a doc_id before each one's ids, every second with labels; read back."""
+    folder = files.shared_folder(spark, "examples")
+    tfrecord.register(spark)
+    lengths = F.transform(T.tokens("text"), F.length).cast("array<bigint>")
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.array("doc_id"), lengths).alias("data"))
+    _in_files(rows).select("data", F.when(F.col("doc_id") % 2 == 0, F.slice("data", 1, 1)).alias("label")).write.format(tfrecord.FORMAT).option("items", 150).mode("overwrite").save(folder)
+    back = spark.read.format(tfrecord.FORMAT).schema("data array<bigint>, label array<bigint>").load(folder)
+    rest = F.slice("data", 2, F.size("data"))
+    return back.select(F.col("data")[0].alias("doc_id"), F.size("data").cast("long").alias("n_ids"), md5(joined(rest.cast("array<string>"))).alias("h"), F.col("label").isNotNull().alias("labelled"))
+
+
 #: Documents of a file that a stream reads, and of a batch of it.
 FILE_DOCS, BATCH_DOCS = 100, 450
 

@@ -128,6 +128,12 @@ def test_masks(spark):
     n, s, c = 20, 5, 2
     got = {r.q: r.n_visible for r in masks.visible(spark, n, s, c).collect()}
     assert got == {q: sum(1 for k in range(q + 1) if k // s == q // s or k % s >= s - c) for q in range(n)}
+    for stride, last in ((None, 1), (s, c), (s, 9)):
+        plain = [sum(1 for k in range(q + 1) if not stride or k // stride == q // stride or k % stride >= stride - last) for q in range(n)]
+        places = spark.range(n).select(masks.visible_at(F.col("id"), stride, last).cast("long").alias("v"))
+        assert [r.v for r in places.collect()] == plain
+        rows = spark.createDataFrame([(k,) for k in (0, 1, 7, 19, 20, 21, 47)], "k long")
+        assert [r.n_visible for r in masks.visible_in(rows, "k", n, stride, last).collect()] == [sum(plain[i % n] for i in range(k)) for k in (0, 1, 7, 19, 20, 21, 47)]
     import math
 
     row = spark.createDataFrame([([1.0, 2.0, 1000.0], 1)], "x array<double>, y int").select(masks.cross_entropy("x", "y").alias("l")).first()

@@ -98,3 +98,12 @@ def test_rewriting(spark):
 def test_pretty_json():
     assert T.pretty({"a": ["é"], "b": {1: None}}) == '{\n  "a": [\n    "é"\n  ],\n  "b": {\n    "1": null\n  }\n}'
     assert T.pretty([{1}]) == '[\n  "{1}"\n]'
+
+
+def test_split_keeping_has_no_sign_of_its_own(spark):
+    texts = ["", "the", "xthe", "thex", "a\x01b the\x01the c", "thethe", "\nthe\n", "no", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in frame.select(T.split_keeping("t", "the|no")).collect()]
+    import re
+
+    assert got == [re.split("(the|no)", t) if t is not None else None for t in texts]
