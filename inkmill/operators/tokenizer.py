@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Collection, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import ALONE, PART_SEPARATOR, SEGMENT_SEPARATOR, SEP, UNK, as_column
-from inkmill.operators.vocabulary import SPECIALS, pieces_of
+from inkmill.operators.vocabulary import SPECIALS, Pieces
 
 NEVER_CUT = (*SPECIALS, PART_SEPARATOR, SEGMENT_SEPARATOR)
 #: Words whose pieces a worker remembers.
@@ -38,6 +39,94 @@ def _shown(c: str) -> str:
     return "" if c == "�" or unicodedata.category(c)[0] == "C" else c
 
 
+#: White space of the fast chain, in which other control characters vanish.
+GAPS = re.compile("[^\t\n\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|\n")
+# The fast chain's blocks of ideographs, which stand alone.
+IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B920, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+
+
+class FastTokenizer:
+    """Tokens of the fast chain, each with its span in the raw text.
+
+    Special tokens are cut out; a line feed becomes the separator's letters; control characters vanish, ideographs,
+    digits and signs stand alone, marks fall away, letters become lower case. Each character that is left
+    remembers which one of the text it came from, through every step, so a token or a piece of one knows where it
+    stands: from its first character to its last. Runs without white space are remembered with their spans.
+    """
+
+    def __init__(self, known: Collection[str] | None = None, never: Collection[str] = SPECIALS, unknown: str = UNK):
+        self.pieces, self.unknown = None if known is None else Pieces(known, unknown), unknown
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(never, key=len, reverse=True)) + ")") if never else None
+        self.letters: dict[str, tuple[str, bool]] = {}
+        self.runs: dict[str, list[tuple[str, int, int]]] = {}
+
+    def _letter(self, c: str) -> tuple[str, bool]:
+        """(what becomes of a character, whether it stands alone)."""
+        if (found := self.letters.get(c)) is None:
+            if c in "\0�" or c not in "\t\n\r" and unicodedata.category(c)[0] == "C":
+                found = ("", False)
+            elif any(a <= ord(c) <= b for a, b in IDEOGRAPHS):
+                found = ("".join(x.lower() for x in unicodedata.normalize("NFD", c)), True)
+            else:
+                plain = "".join(x.lower() for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+                found = (plain, False)
+            self.letters[c] = found
+        return found
+
+    def _run(self, run: str) -> list[tuple[str, int, int]]:
+        words: list[tuple[list[str], list[int]]] = [([], [])]
+        for i, c in enumerate(run):
+            plain, alone = self._letter(c)
+            if alone:
+                words.append(([], []))
+            for x in plain:
+                if unicodedata.category(x)[0] == "N" or _sign(x):
+                    words += [([x], [i]), ([], [])]
+                else:
+                    words[-1][0].append(x)
+                    words[-1][1].append(i)
+            if alone:
+                words.append(([], []))
+        out = []
+        for letters, origin in words:
+            if not letters:
+                continue
+            word = "".join(letters)
+            pieces = [word] if self.pieces is None else self.pieces(word)
+            if pieces == [self.unknown] or len(pieces) == 1:
+                out.append((pieces[0], origin[0], origin[-1] + 1))
+                continue
+            at = 0
+            for n, piece in enumerate(pieces):
+                size = len(piece) - (2 if n else 0)
+                out.append((piece, origin[at], origin[at + size - 1] + 1))
+                at += size
+        return out
+
+    def __call__(self, text: str | None) -> list[tuple[str, int, int]]:
+        out: list[tuple[str, int, int]] = []
+        at = 0
+        for i, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
+            if i % 2:
+                out.append((part, at, at + len(part)))
+            else:
+                for m in GAPS.finditer(part):
+                    begin, run = at + m.start(), m[0]
+                    if run == "\n":
+                        out += [(t, begin, begin + 1) for t, _, _ in self._known(SEP)]
+                    else:
+                        out += [(t, begin + a, begin + b) for t, a, b in self._known(run)]
+            at += len(part)
+        return out
+
+    def _known(self, run: str) -> list[tuple[str, int, int]]:
+        if (found := self.runs.get(run)) is None:
+            if len(self.runs) >= CACHE_WORDS:
+                self.runs.clear()
+            found = self.runs[run] = self._run(run)
+        return found
+
+
 class Shown(dict):
     """What each character is shown as, for str.translate."""
 
@@ -50,7 +139,7 @@ class Tokenizer:
     """Tokens of texts by a vocabulary; without one, words and signs are not cut into pieces."""
 
     def __init__(self, known: Collection[str] | None = None, never: Collection[str] = NEVER_CUT, unknown: str = UNK):
-        self.known, self.never, self.unknown = None if known is None else frozenset(known), frozenset(never), unknown
+        self.pieces = None if known is None else Pieces(known, unknown)
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(never, key=len, reverse=True)) + ")")
         self.shown, self.words = Shown(), {}
 
@@ -60,7 +149,7 @@ class Tokenizer:
                 self.words.clear()
             plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
             parts = "".join(f" {c} " if _sign(c) else c for c in plain).split()
-            found = self.words[word] = parts if self.known is None else [p for x in parts for p in pieces_of(x, self.known, self.unknown)]
+            found = self.words[word] = parts if self.pieces is None else [p for x in parts for p in self.pieces(x)]
         return found
 
     def __call__(self, text: str | None) -> list[str]:
@@ -90,6 +179,24 @@ def tokenized(text: Column | str, known: Collection[str] | None = None) -> Colum
     return run(as_column(text))
 
 
+def spans(text: Column | str, known: Collection[str] | None = None) -> Column:
+    """The fast chain's tokens of each text as (token, start, end), places in characters of the raw text."""
+    kept = None if known is None else list(known)
+    kind = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cut = FastTokenizer(kept)
+        for texts in batches:
+            found = [cut(t) for t in texts.to_pylist()]
+            flat = [x for f in found for x in f]
+            columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names=["token", "start", "end"])).cast(kind)
+
+    return run(as_column(text))
+
+
 def looked_up(texts: Column | str, table: dict[str, int], unknown: int) -> Column:
     """For each array of texts, the ids of each: that of the text itself if it is one token, else those of its tokens."""
 

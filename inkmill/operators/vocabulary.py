@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -102,30 +102,77 @@ def others(candidates: Column, size: int) -> Column:
     return F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), candidates)
 
 
-def pieces_of(word: str, known: frozenset[str], unknown: str = UNK, most: int = 100) -> list[str]:
-    """A word cut into the longest known pieces from its left; later ones begin with ##."""
-    if len(word) > most:
-        return [unknown]
-    out, at = [], 0
-    while at < len(word):
-        for end in range(len(word), at, -1):
-            piece = ("##" if at else "") + word[at:end]
-            if piece in known:
-                out.append(piece)
-                at = end
-                break
-        else:
-            return [unknown]
-    return out
+class Pieces:
+    """Cuts words into the longest known pieces from their left, later ones with ##, in time in proportion to their length.
+
+    Two tries, of pieces that begin a word and of those that go on one, share their nodes' failure links: where no
+    child goes on from a node, what it has spelt so far is cut into the pieces that it `gives`, and the rest of it goes on
+    from the node that its link points to. No character is read twice.
+    """
+
+    def __init__(self, known: Iterable[str], unknown: str = UNK, most: int = 100):
+        self.unknown, self.most = unknown, most
+        self.children: list[dict[str, int]] = [{}, {}]
+        ends: dict[int, str] = {}
+        for piece in known:
+            # naive matching takes a piece with its signs at the start of a word, too
+            for root, text in ((0, piece), *([(1, piece[2:])] if piece.startswith("##") else [])):
+                at = root
+                for c in text:
+                    at = self._child(at, c)
+                if at > 1:
+                    ends[at] = piece
+        self.fail: list[int] = [-1] * len(self.children)
+        self.gives: list[tuple[str, ...]] = [()] * len(self.children)
+        row = [0, 1]
+        while row:
+            below = []
+            for node in row:
+                for c, child in self.children[node].items():
+                    below.append(child)
+                    if child in ends:
+                        self.fail[child], self.gives[child] = 1, (ends[child],)
+                        continue
+                    at, given = self.fail[node], self.gives[node]
+                    while at >= 0 and c not in self.children[at]:
+                        given += self.gives[at]
+                        at = self.fail[at]
+                    if at >= 0:
+                        self.fail[child], self.gives[child] = self.children[at][c], given
+            row = below
+
+    def _child(self, node: int, c: str) -> int:
+        found = self.children[node].get(c)
+        if found is None:
+            found = self.children[node][c] = len(self.children)
+            self.children.append({})
+        return found
+
+    def __call__(self, word: str) -> list[str]:
+        if len(word) > self.most:
+            return [self.unknown]
+        out: list[str] = []
+        at = 0
+        for c in word:
+            while (child := self.children[at].get(c)) is None:
+                out += self.gives[at]
+                at = self.fail[at]
+                if at < 0:
+                    return [self.unknown]
+            at = child
+        while at > 1:
+            out += self.gives[at]
+            at = self.fail[at]
+        return out if at >= 0 else [self.unknown]
 
 
 def word_pieces(docs: DataFrame, tokens: str, known: Sequence[str], out: str = "pieces") -> DataFrame:
     """docs with each token cut into word pieces; a batch's words are told apart before any is cut."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(known))
+    shared = docs.sparkSession.sparkContext.broadcast(list(known))
 
     @F.arrow_udf("array<string>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, seen = shared.value, {}
+        pieces, seen = Pieces(shared.value), {}
         for arrays in batches:
             if len(seen) > 500_000:
                 seen.clear()
@@ -133,7 +180,7 @@ def word_pieces(docs: DataFrame, tokens: str, known: Sequence[str], out: str = "
             rows = []
             for w in words.dictionary.to_pylist():
                 if (found := seen.get(w)) is None:
-                    found = seen[w] = pieces_of(w, vocabulary)
+                    found = seen[w] = pieces(w)
                 rows.append(found)
             each = pa.array(rows, pa.list_(pa.string())).take(words.indices)
             # pieces before each word, and so before each document

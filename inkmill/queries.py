@@ -157,6 +157,18 @@ def q_han_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), md5(joined("t")).alias("h"))
 
 
+@query(
+    r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '\p{L}+|\p{N}|\n|[^\s\p{L}\p{N}]') AS r FROM documents),
+t AS (SELECT doc_id, flatten(list_transform(r, lambda x: CASE WHEN x = chr(10) THEN ['<', 'sep', '>'] ELSE [lower(strip_accents(x))] END)) AS t, flatten(list_transform(r, lambda x: CASE WHEN x = chr(10) THEN [x, x, x] ELSE [x] END)) AS r FROM r)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS h, md5(array_to_string(r, '|')) AS cut_h FROM t"""
+)
+def q_fast_tokens(spark, sf_dir):
+    """Tokens of the fast chain, and what their spans cut from the raw text."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", tokenizer.spans("text").alias("t"))
+    cut = F.transform("t", lambda t: F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"]))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), md5(joined(F.col("t.token"))).alias("h"), md5(joined(cut, "|")).alias("cut_h"))
+
+
 @query("SELECT doc_id, md5(lower(strip_accents(text))) AS h FROM documents")
 def q_norm_text(spark, sf_dir):
     # ß has no mark; line ends stay

@@ -77,9 +77,10 @@ def test_large_vocabulary_is_joined(spark, monkeypatch):
 
 def test_word_pieces(spark):
     known = frozenset(["un", "##aff", "##able", "a"])
-    assert vocabulary.pieces_of("unaffable", known) == ["un", "##aff", "##able"]
-    assert vocabulary.pieces_of("unx", known) == ["<unk>"]
-    assert vocabulary.pieces_of("a" * 101, known) == ["<unk>"]
+    cut = vocabulary.Pieces(known)
+    assert cut("unaffable") == ["un", "##aff", "##able"]
+    assert cut("unx") == ["<unk>"]
+    assert cut("a" * 101) == ["<unk>"]
     docs = spark.createDataFrame([(1, ["unaffable", "a"]), (2, None)], "k long, t array<string>")
     assert [r.pieces for r in vocabulary.word_pieces(docs, "t", sorted(known)).orderBy("k").collect()] == [["un", "##aff", "##able", "a"], []]
 
@@ -229,3 +230,78 @@ def test_sparse_windows_over_ranges(spark, n, stride):
     assert [r.tokens for r in got] == pool(documents, n, stride)
     assert [int(r.tokens[0]) for r in got] == list(packing.starts(lengths, n, stride))
     assert [r.w for r in got] == list(range(len(got)))
+
+
+def longest_first(word, known):
+    """Word pieces by trying every end."""
+    out, at = [], 0
+    while at < len(word):
+        for end in range(len(word), at, -1):
+            if (piece := ("##" if at else "") + word[at:end]) in known:
+                out.append(piece)
+                at = end
+                break
+        else:
+            return ["<unk>"]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_on_random_vocabularies(seed):
+    random.seed(seed)
+    letters = "ab#" if seed % 2 else "abc"
+    draw = lambda n: "".join(random.choices(letters, k=random.randint(1, n)))
+    for _ in range(60):
+        known = {random.choice(["", "##"]) + draw(5) for _ in range(random.randint(0, 25))} | ({"##"} if random.random() < 0.2 else set())
+        cut = vocabulary.Pieces(known)
+        for word in ["", *(draw(12) for _ in range(60))]:
+            assert cut(word) == longest_first(word, known), (word, known)
+
+
+def test_long_words_take_no_longer_by_letter():
+    import time
+
+    cut = vocabulary.Pieces(["a" * 50, *("##" + "a" * k for k in (1, 2, 49))], most=10**6)
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        cut("a" * n + "b")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.05
+
+
+def test_fast_chain_against_the_library():
+    """Tokens and spans as the public library gives them for the same chain."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    from inkmill.operators import tokenizer
+
+    pool_ = ["a", "b", "C", "é", "e\u0301", "ß", "Ä", " ", "  ", "\n", "\r", "\t", "\x0b", "\x00", "\u200b", "\ufffd", "1", "²", "Ⅳ", "½", "中", "国", "가", "，", "。", "!", "$", "+", "-", "<sep>", "<pad>", "＋", "°", "\xa0", "\u3000", "\u2028", "İ", "ά", "x", "yz", "unlikely", "🙂", "\x1c", "\x85"]
+    words = ["a", "b", "##a", "##b", "un", "##like", "##ly", "##y", "z", "x", "y", "##z", "中", "<", "sep", ">", "1", "!", "e", "##e", "##x", "ss", "c", "##c", "ß"]
+    vocabulary_ = {t: i for i, t in enumerate(["<unk>", "<sep>", "<pad>", "<cls>", "<mask>", "<|startoftext|>", "<|endoftext|>", *words])}
+    for known in (None, words):
+        lib = Tokenizer(models.WordPiece(vocab=vocabulary_, unk_token="<unk>", max_input_chars_per_word=100))
+        lib.add_special_tokens(["<unk>", "<sep>", "<pad>", "<cls>", "<mask>", "<|startoftext|>", "<|endoftext|>"])
+        lib.normalizer = normalizers.Sequence([normalizers.Replace("\n", "<sep>"), normalizers.BertNormalizer(handle_chinese_chars=True, strip_accents=None, lowercase=True)])
+        lib.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.Punctuation(), pre_tokenizers.WhitespaceSplit()])
+        random.seed(6)
+        cut = tokenizer.FastTokenizer(known)
+        for _ in range(1500):
+            text = "".join(random.choices(pool_, k=random.randint(0, 14)))
+            enc = lib.encode(text)
+            mine = cut(text)
+            if known is None:
+                # without pieces: words end where the last of their pieces does
+                assert {b for _, _, b in mine} <= {b for _, b in enc.offsets}, text
+            else:
+                assert [(t, a, b) for t, a, b in mine] == list(zip(enc.tokens, *zip(*enc.offsets))) if enc.tokens else not mine, text
+
+
+def test_spans_of_odd_texts(spark):
+    from inkmill.operators import tokenizer
+
+    frame = spark.createDataFrame([(None,), ("",), ("Ab\n<sep>é",), ("ab ab",)], "t string")
+    got = [[tuple(x) for x in r[0]] for r in frame.select(tokenizer.spans("t")).collect()]
+    assert got == [[], [], [("ab", 0, 2), ("<", 2, 3), ("sep", 2, 3), (">", 2, 3), ("<sep>", 3, 8), ("e", 8, 9)], [("ab", 0, 2), ("ab", 3, 5)]]
+    cut = [[tuple(x) for x in r[0]] for r in frame.select(tokenizer.spans("t", ["a", "##b"])).collect()]
+    assert cut[3] == [("a", 0, 1), ("##b", 1, 2), ("a", 3, 4), ("##b", 4, 5)]
