@@ -96,3 +96,13 @@ def regrouped(rows: DataFrame, keys: Sequence[str], order: str, labels: str) ->
         F.min_by(F.struct(*names), order).alias("_row"), F.min(order).alias("first"), F.bool_or(F.col(labels).isNull()).alias("_open"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.col(labels).alias("_label")))).alias("_all")
     )
     return out.select(*keys, *[F.col("_row")[c].alias(c) for c in names if c != order], "first", F.when(~F.col("_open"), F.col("_all._label")).alias(labels))
+
+
+def regrouped_in_chunks(rows: DataFrame, keys: Sequence[str], order: str, labels: str, size: int = ITEMS_PER_FILE) -> DataFrame:
+    """keys.., chunk, first, labels: each group's labels in the order of a whole number, `size` in a row, groups of any length.
+
+    Places within a group come from running totals over ranges, so no task holds more of one than a range or a chunk.
+    """
+    placed = numbered(rows.select(*keys, order, labels), order, "_at", keys)
+    chunks = placed.withColumn("chunk", F.floor(F.col("_at") / size)).groupBy(*keys, "chunk").agg(F.min(order).alias("first"), F.sort_array(F.collect_list(F.struct("_at", F.col(labels).alias("_label")))).alias("_all"))
+    return chunks.select(*keys, "chunk", "first", F.col("_all._label").alias(labels))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import arithmetic, arrays
 from inkmill.functions import text as T
-from inkmill.operators import masks, packing, plugins, records, scoring, tokenizer, vocabulary
+from inkmill.operators import masks, packing, plugins, readings, records, scoring, tokenizer, vocabulary
 from inkmill.sources import files, replay, tfrecord
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,27 @@ def q_han_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), md5(joined("t")).alias("h"))
 
 
+#: Readings of the ideographs above, and of phrases in which some are read otherwise.
+SINGLES = {c: f"{c2}{i % 4 + 1}" for i, (c, c2) in enumerate(zip("我爱中国人大天地水火山", "abcdefghijk"))}
+PHRASES = {"中国": ("zhong1", "guo2"), "国人": ("guo9", "ren9"), "中国人": ("zhong3", "guo3", "ren3"), "大人": ("da5", "ren5"), "人人人": ("x1", "x2", "x3"), "天地": ("tian1", "di4"), "水火": ("shui3", "huo3")}
+READ_SQL = " ".join([*(f"WHEN '{p}' THEN [" + ", ".join(f"'{r}'" for r in PHRASES[p]) + "]" for p in PHRASES), *(f"WHEN '{c}' THEN ['{r}']" for c, r in SINGLES.items())])
+#: Letters of the documents that phrases are made of, more of them than above.
+READ_SIGNS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, translate(lower(strip_accents(text)), '{READ_SIGNS}', '{("".join(SINGLES) * 3)[:26]}') AS text FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(replace(text, chr(10), ' ' || chr(1) || ' '), '{"|".join(sorted(PHRASES, key=len, reverse=True))}|\p{{Han}}|[\p{{Nd}}²③]|[\p{{Latin}}\p{{Greek}}]+|[^\s\p{{Latin}}\p{{Greek}}\p{{Han}}\p{{Nd}}²③]') AS t FROM d),
+r AS (SELECT doc_id, flatten(list_transform(t, lambda x: CASE x {READ_SQL} ELSE [x] END)) AS r FROM t)
+SELECT doc_id, CAST(len(r) AS BIGINT) AS n_readings, md5(replace(array_to_string(r, ' '), chr(1), '{T.SEP}')) AS h FROM r"""
+)
+def q_readings(spark, sf_dir):
+    """Documents with ideographs for their letters, read by phrases."""
+    han = F.translate(T.normalised("text"), READ_SIGNS, ("".join(SINGLES) * 3)[:26])
+    rows = _docs(spark, sf_dir).select("doc_id", readings.readings(han, PHRASES, SINGLES).alias("r"))
+    return rows.select("doc_id", F.size("r").cast("long").alias("n_readings"), md5(joined("r")).alias("h"))
+
+
 @query(
     r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '\p{L}+|\p{N}|\n|[^\s\p{L}\p{N}]') AS r FROM documents),
 t AS (SELECT doc_id, flatten(list_transform(r, lambda x: CASE WHEN x = chr(10) THEN ['<', 'sep', '>'] ELSE [lower(strip_accents(x))] END)) AS t, flatten(list_transform(r, lambda x: CASE WHEN x = chr(10) THEN [x, x, x] ELSE [x] END)) AS r FROM r)
@@ -437,6 +458,21 @@ def q_explode_regroup(spark, sf_dir):
     return groups.select("role", F.col("first.conv_id").alias("first_conv"), F.size("text").cast("long").alias("n"), md5(joined("text", "|")).alias("h"))
 
 
+#: Turns of a conversation at most, which set apart those of one from the next.
+TURNS = 1 << 20
+
+
+@query(
+    f"""WITH r AS (SELECT role, conv_id * {TURNS} + turn AS place, text, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 64 AS chunk FROM conversations)
+SELECT role, CAST(chunk AS BIGINT) AS chunk, CAST(min(place) AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS n, md5(string_agg(text, '|' ORDER BY place)) AS h FROM r GROUP BY role, chunk"""
+)
+def q_regroup_chunks(spark, sf_dir):
+    """Groups of few keys and many rows, as lists of 64 in their order."""
+    rows = table(spark, sf_dir, "conversations").select("role", (F.col("conv_id") * TURNS + F.col("turn")).alias("at"), "text")
+    groups = records.regrouped_in_chunks(rows, ["role"], "at", "text", 64)
+    return groups.select("role", "chunk", "first", F.size("text").cast("long").alias("n"), md5(joined("text", "|")).alias("h"))
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def q_dedup_first(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")

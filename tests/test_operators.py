@@ -305,3 +305,43 @@ def test_spans_of_odd_texts(spark):
     assert got == [[], [], [("ab", 0, 2), ("<", 2, 3), ("sep", 2, 3), (">", 2, 3), ("<sep>", 3, 8), ("e", 8, 9)], [("ab", 0, 2), ("ab", 3, 5)]]
     cut = [[tuple(x) for x in r[0]] for r in frame.select(tokenizer.spans("t", ["a", "##b"])).collect()]
     assert cut[3] == [("a", 0, 1), ("##b", 1, 2), ("a", 3, 4), ("##b", 4, 5)]
+
+
+def test_readings_against_plain_ones(spark):
+    """The longest phrase from the left, single readings else, other text as its tokens, as many as there are tokens."""
+    from inkmill.operators import readings, tokenizer
+
+    random.seed(8)
+    letters = "我爱中国人"
+    for _ in range(40):
+        phrases = {p: [f"{p}{i}" for i in range(len(p))] for p in ("".join(random.choices(letters, k=random.randint(1, 4))) for _ in range(8))}
+        singles = {c: c + "!" for c in letters[:3]}
+        read = readings.Reader(phrases, singles)
+        for _ in range(40):
+            text = "".join(random.choices(letters + "a1， ", k=random.randint(0, 14)))
+            plain, at = [], 0
+            while at < len(text):
+                best = max((p for p in phrases if text.startswith(p, at)), key=len, default="")
+                if best:
+                    plain += phrases[best]
+                elif text[at] in letters:
+                    plain.append(singles.get(text[at], text[at]))
+                elif text[at] == "a" and at and text[at - 1] == "a":
+                    plain[-1] += "a"
+                elif text[at] != " ":
+                    plain.append(text[at])
+                at += max(1, len(best))
+            assert read(text) == plain, text
+            assert len(plain) == len(tokenizer.Tokenizer()(text))
+    frame = spark.createDataFrame([(None,), ("",), ("中国\nB我",)], "t string")
+    got = [r[0] for r in frame.select(readings.readings("t", {"中国": ["zhong", "guo"]}, {"我": "wo"})).collect()]
+    assert got == [[], [], ["zhong", "guo", "<sep>", "b", "wo"]]
+    with pytest.raises(ValueError):
+        readings.Reader({"中国": ["zhong"]}, {})
+
+
+def test_groups_in_chunks(spark):
+    rows = [("a", i, f"l{i}" if i % 3 else None) for i in range(23)] + [(None, 5, "n")]
+    frame = spark.createDataFrame(random.sample(rows, len(rows)), "g string, k long, label string")
+    got = {(r.g, r.chunk): (r.first, r.label) for r in records.regrouped_in_chunks(frame, ["g"], "k", "label", 10).collect()}
+    assert got == {("a", c): (10 * c, [f"l{i}" if i % 3 else None for i in range(10 * c, min(23, 10 * c + 10))]) for c in range(3)} | {(None, 0): (5, ["n"])}
