@@ -42,7 +42,7 @@ from inkmill.llm._shared import cut, hash_order, new_folder, small_batches
 
 MAGIC = b"IMTOKEN1"
 END_ID = 0
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 1
 #: A file is closed when it has this many bytes; so much of it is in memory at most, and one document.
 FILE_BYTES = 32 << 20
 #: Documents in a range, about, and ranges at most, beyond which they hold more; a range has as many files as it needs.
