@@ -118,6 +118,14 @@ def test_near_copies_of_documents(spark, data):
     assert got == {i: (f"{p:016x}", least[tops[p]]) for i, p in prints.items()}
 
 
+def test_near_copies_of_other_ids_and_bytes(spark):
+    texts = [b"one two three four", b"one \xff two \xc3( three", b"\x1c \xa0", None, b"ONE two\x0bthree\tfour"]
+    raw = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text binary").select("doc_id", F.expr("cast(text as string)").alias("text"))
+    got = {r.doc_id: r.fp for r in simhash.near_duplicates(raw).collect()}
+    assert got == {i: int(np.uint64(simhash.fingerprint(t)).astype(np.int64)) for i, t in enumerate(texts)}
+    assert got[0] == got[4] and got[3] == 0
+
+
 def test_near_copies_in_odd_tables(spark):
     docs = odd_docs(spark)
     got = [tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "component_id").collect()]
