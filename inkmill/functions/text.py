@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkmill.functions.batches import small_batches
+
 # Special tokens and their ids, and the separators of parts and segments.
 UNK, SEP, PAD, CLS, MASK, BOS, EOS = "<unk>", "<sep>", "<pad>", "<cls>", "<mask>", "<|startoftext|>", "<|endoftext|>"
 PAD_ID, EOS_ID, BOS_ID, IGNORE_ID = 0, 8, 10, -100
@@ -83,6 +85,7 @@ def _unmarked(texts: pa.Array) -> pa.Array:
 
 def normalised(x: Column | str) -> Column:
     """Lower case, decomposed without non-spacing marks, control characters or odd spaces."""
+    small_batches()
     plain = _unmarked(F.lower(as_column(x)))
     plain = F.regexp_replace(plain, r"[\x00�\p{Cc}\p{Cf}&&[^\t\n\r]]", "")
     return F.regexp_replace(plain, r"[\p{Zs}\t\r]", " ")

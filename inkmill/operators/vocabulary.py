@@ -10,9 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.functions.batches import small_batches
 from inkmill.functions.text import BOS, CLS, EOS, MASK, PAD, SEP, UNK
 
 SPECIALS = (PAD, UNK, SEP, CLS, MASK, BOS, EOS)
+#: Words whose pieces a worker remembers between batches.
+CACHE_WORDS = 50_000
 #: A vocabulary with more rows is joined by a shuffle, not held in memory.
 BROADCAST_ROWS = 500_000
 
@@ -46,6 +49,7 @@ def kept(vocabulary: DataFrame) -> DataFrame:
 
 def looked_up(spark: SparkSession, keys: pa.Array, values: pa.Array, missing, kind: str) -> Callable[[Column | str], Column]:
     """An expression that looks up the items of an array: a hash look-up by the batch, without a shuffle."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((keys, pa.concat_arrays([values, pa.array([missing], values.type)])))
 
     @F.arrow_udf(f"array<{kind}>")
@@ -168,13 +172,14 @@ class Pieces:
 
 def word_pieces(docs: DataFrame, tokens: str, known: Sequence[str], out: str = "pieces") -> DataFrame:
     """docs with each token cut into word pieces; a batch's words are told apart before any is cut."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(list(known))
 
     @F.arrow_udf("array<string>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, seen = Pieces(shared.value), {}
         for arrays in batches:
-            if len(seen) > 500_000:
+            if len(seen) > CACHE_WORDS:
                 seen.clear()
             words = arrays.flatten().dictionary_encode()
             rows = []
