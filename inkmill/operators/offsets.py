@@ -81,13 +81,18 @@ def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (
     worth = F.col(value) * F.col("_copies") if copies else F.col(value)
     heads = dealt.groupBy(*by, "_range").agg(F.sum(worth).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"), F.sum("_sum").over(Window.partitionBy(*by)).alias(total))
-    within = Window.partitionBy(*by, "_range").orderBy(key, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    # a struct equals one with the same nulls, so the join finds rows dealt as the window has dealt them
+    group = F.struct(*by) if by else F.lit(0)
+    heads = heads.select(group.alias("_whose"), F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"), F.sum("_sum").over(Window.partitionBy(*by)).alias(total))
+    if by:
+        dealt = dealt.withColumn("_group", group)
+    place = ["_group", "_range"] if by else ["_range"]
+    within = Window.partitionBy(*place).orderBy(key, "_tie").rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_range") == F.col("_of")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    if by:
+        same = (F.col("_group") == F.col("_whose")) & same
     met = dealt.withColumn("_own", F.coalesce(F.sum(worth).over(within), F.lit(0))).join(heads, same)
-    met = met.withColumn(out, F.col("_head") + F.col("_own")).drop("_of", *[f"_by{i}" for i in range(len(by))])
+    met = met.withColumn(out, F.col("_head") + F.col("_own")).drop("_of", "_whose", "_group")
     if copies:
         met = met.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
         met = met.withColumn(out, F.col(out) + F.col("_copy") * F.coalesce(F.col(value), F.lit(0)))

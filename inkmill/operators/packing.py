@@ -1,7 +1,8 @@
 """Fixed windows over the stream of all documents' tokens.
 
 Only lengths go through a running total. Each document's tokens are then cut into the pieces that windows
-take from it, and a window is put together from its pieces: rows are pieces, never single tokens.
+take from it, and a window is put together from its pieces: rows are pieces, never single tokens. Between
+tasks tokens travel as one text, a byte more each than their letters, where an array takes 16 or more.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.operators.offsets import ranges, running
@@ -20,6 +21,45 @@ from inkmill.operators.offsets import ranges, running
 ROWS_IN_RANGE = 5000
 
 
+#: Stands between tokens on their way, and begins what stands for itself (e), for the former (b) and for null (n) within them.
+BETWEEN, ESCAPE = "\x1f", "\x1b"
+
+
+def sized(docs: DataFrame, columns: Sequence[str], tokens: str) -> DataFrame:
+    """columns.., tokens as one text, len: how many they are."""
+    kept = docs.select(*columns, F.col(tokens).alias("_tokens")).withColumn("_plain", F.array_join("_tokens", BETWEEN, ESCAPE + "n"))
+    plain = F.octet_length("_plain") - F.octet_length(F.replace("_plain", F.lit(BETWEEN), F.lit(""))) == F.size("_tokens") - 1
+    marked = F.transform("_tokens", lambda t: F.coalesce(F.replace(F.replace(t, F.lit(ESCAPE), F.lit(ESCAPE + "e")), F.lit(BETWEEN), F.lit(ESCAPE + "b")), F.lit(ESCAPE + "n")))
+    one = F.when(plain & ~F.contains("_plain", F.lit(ESCAPE)), F.col("_plain")).otherwise(F.array_join(marked, BETWEEN))
+    return kept.select(*columns, one.alias("tokens"), F.size("_tokens").cast("long").alias("len"))
+
+
+def _split(text: Column | str) -> Column:
+    """The marked tokens of a text of at least one."""
+    return F.split(text, BETWEEN)
+
+
+def _cut(items: Column | str, start: Column, n: Column) -> Column:
+    """Some of these as one text again."""
+    return F.array_join(F.slice(items, (start + 1).cast("int"), n.cast("int")), BETWEEN)
+
+
+def _unmarked(text: Column) -> Column:
+    """The tokens that a text of at least one stands for."""
+
+    def one(t: Column) -> Column:
+        return F.when(t != ESCAPE + "n", F.replace(F.replace(t, F.lit(ESCAPE + "b"), F.lit(BETWEEN)), F.lit(ESCAPE + "e"), F.lit(ESCAPE)))
+
+    return F.when(F.contains(text, F.lit(ESCAPE)), F.transform(_split(text), one)).otherwise(_split(text))
+
+
+def _together(pieces: DataFrame, *by: str) -> DataFrame:
+    """by.., tokens: the pieces (by.., at, piece) of each window in their order."""
+    # dealt before they are listed: lists made earlier would be shuffled, and sorted, as well as pieces
+    grouped = pieces.repartition(*by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    return grouped.select(*by, F.array_join("pieces.piece", BETWEEN).alias("_text")).select(*by, _unmarked(F.col("_text")).alias("tokens"))
+
+
 def check(n: int, stride: int) -> None:
     if n <= 0 or stride <= 0:
         raise ValueError("window length and stride must be positive")
@@ -35,21 +75,19 @@ def windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int | None =
     if stride > n:
         return _sparse_windows(docs, key, tokens, n, stride, by)
     by = list(by)
-    sized = docs.select(*by, key, F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("len"))
     # tokens go along to their range, so they are shuffled once
-    met = running(sized, key, "len", "at", by, ROWS_IN_RANGE, "total")
+    met = running(sized(docs, [*by, key], tokens), key, "len", "at", by, ROWS_IN_RANGE, "total")
     first = F.greatest(F.floor((F.col("at") - n) / stride) + 1, F.lit(0))
     last = F.least(F.floor((F.col("at") + F.col("len") - 1) / stride), F.floor((F.col("total") - n) / stride))
 
     def piece(w):
         start = F.greatest(w * stride - F.col("at"), F.lit(0))
         end = F.least(w * stride + n - F.col("at"), F.col("len"))
-        return F.struct(w.alias("w"), F.slice("tokens", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+        return F.struct(w.alias("w"), _cut("items", start, end - start).alias("piece"))
 
-    whole = F.when((F.col("len") > 0) & (last >= first), F.transform(F.sequence(first, last), piece))
-    pieces = met.where("total >= " + str(n)).select(*by, "at", F.inline(whole))
-    grouped = pieces.groupBy(*by, "w").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    return grouped.select(*by, "w", F.flatten(F.col("pieces.piece")).alias("tokens"))
+    some = met.where("len > 0 and total >= " + str(n)).withColumn("items", _split("tokens"))
+    pieces = some.select(*by, "at", F.inline(F.when(last >= first, F.transform(F.sequence(first, last), piece))))
+    return _together(pieces, *by, "w")
 
 
 def starts(lengths: Iterable[int], n: int, stride: int) -> Iterator[int]:
@@ -146,20 +184,23 @@ def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int,
     """Windows further apart than they are long: each start depends on the one before and on where documents end."""
     if by:
         raise ValueError("strides beyond the window length are for one stream")
-    sized = docs.select(key, F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("len"))
-    met = running(sized, key, "len", "at", rows=rows).where("len > 0")
+    met = running(sized(docs, [key], tokens), key, "len", "at", rows=rows).where("len > 0")
     begun = _begun(met.select("at", "len"), n, stride, rows)
     # windows and documents meet in cells of n tokens; either touches few cells
     cells = begun.select("w", "start", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + n - 1) / n))).alias("cell"))
-    shelves = met.select("tokens", "at", "len", F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((F.col("at") + F.col("len") - 1) / n))).alias("cell"))
+
+    def shelf(cell):
+        # of a document a cell holds its own tokens alone
+        start = F.greatest(cell * n - F.col("at"), F.lit(0))
+        some = F.least((cell + 1) * n - F.col("at"), F.col("len")) - start
+        return F.struct(cell.alias("cell"), (F.col("at") + start).alias("at"), some.alias("len"), _cut("items", start, some).alias("tokens"))
+
+    held = F.transform(F.sequence(F.floor(F.col("at") / n), F.floor((F.col("at") + F.col("len") - 1) / n)), shelf)
+    shelves = met.withColumn("items", _split("tokens")).select(F.inline(held))
     pieces = shelves.join(cells, "cell").where("start < at + len and start + %d > at" % n)
     a = F.greatest(F.col("start") - F.col("at"), F.lit(0))
     b = F.least(F.col("start") + n - F.col("at"), F.col("len"))
-    # a piece may meet its window in two cells; it belongs to the first
-    pieces = pieces.where(F.col("cell") == F.floor(F.greatest("start", "at") / n))
-    pieces = pieces.select("w", "at", F.slice("tokens", (a + 1).cast("int"), (b - a).cast("int")).alias("piece"))
-    grouped = pieces.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    return grouped.select("w", F.flatten(F.col("pieces.piece")).alias("tokens"))
+    return _together(pieces.select("w", "at", _cut(_split("tokens"), a, b - a).alias("piece")), "w")
 
 
 def epochs(docs: DataFrame, n: int) -> DataFrame:
