@@ -11,6 +11,8 @@ from inkmill.functions import arrays
 from inkmill.functions.text import IGNORE_ID, ITEMS_PER_FILE, numbered_name
 from inkmill.operators.offsets import numbered
 
+#: Rows in a range of those that carry texts or ids along to be numbered.
+WIDE_ROWS = 5000
 TOO_LONG, MISALIGNED = "too long", "ids and pinyin differ in length"
 
 
@@ -37,7 +39,7 @@ def repaired(ids: Column | str, pinyin: Column | str) -> Column:
 
 def batched(rows: DataFrame, key: str, size: int) -> DataFrame:
     """rows with `batch`, by their order."""
-    return numbered(rows, key, "_at").withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
+    return numbered(rows, key, "_at", rows=WIDE_ROWS).withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
 
 
 def padded_batches(rows: DataFrame, key: str, size: int, columns: Sequence[str], labels: str | None = None) -> DataFrame:
@@ -55,7 +57,7 @@ def padded_batches(rows: DataFrame, key: str, size: int, columns: Sequence[str],
 
 def with_files(rows: DataFrame, key: str, items: int = ITEMS_PER_FILE, end: str = ".tfrecord.gz", dense: bool = False) -> DataFrame:
     """rows with `shard` and `file` by the place among the rows written; dense: key is that place, as of windows of one stream."""
-    placed = rows.withColumn("_at", F.col(key)) if dense else numbered(rows, key, "_at")
+    placed = rows.withColumn("_at", F.col(key)) if dense else numbered(rows, key, "_at", rows=WIDE_ROWS)
     out = placed.withColumn("shard", F.floor(F.col("_at") / items)).drop("_at")
     return out.withColumn("file", numbered_name(F.col("shard"), 8, end))
 
@@ -65,7 +67,7 @@ def with_input_files(rows: DataFrame, key: str, split: str, items: int = ITEMS_P
     n = rows.count()
     files = -(-n // items)
     width = len(str(files))
-    out = numbered(rows, key, "_at")
+    out = numbered(rows, key, "_at", rows=WIDE_ROWS)
     return out.withColumn("file", F.concat(F.lit(f"{split}-"), numbered_name(F.floor(F.col("_at") / items), width), F.lit(f"-of-{files}"))).drop("_at")
 
 
