@@ -11,9 +11,11 @@ documents alone.
 
 Encoding: a text is cut before white space that follows something else. There the tokenizer's own
 pre-tokenizer cuts too, so equal pieces have equal ids wherever they stand; each worker encodes a piece
-once and remembers it. A piece of Latin letters and ASCII signs goes to the library's BPE model word by
-word, any other to its whole tokenizer; texts with a special token's string are encoded whole, as are all
-texts where the tokenizer's file names a normalizer or another pre-tokenizer than plain byte level.
+once and remembers it, in bounded arrays that its next tasks use, too. Texts are cut, and ids put together,
+by Arrow and numpy for a group of texts at once. A piece of Latin letters and ASCII signs goes to the
+library's BPE model word by word, any other to its whole tokenizer; texts with a special token's string are
+encoded whole, as are all texts where the tokenizer's file names a normalizer or another pre-tokenizer than
+plain byte level.
 
 Defined results: a null text counts as empty; each document ends with id 0; a null doc_id comes first;
 rows of one doc_id follow in the order of a hash of their text; an empty table writes no files and gives
@@ -22,17 +24,19 @@ no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import os
 import re
-import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,8 +52,13 @@ FILE_BYTES = 32 << 20
 #: Documents in a range, about, and ranges at most, beyond which they hold more; a range has as many files as it needs.
 DOCS_IN_RANGE, MOST_RANGES, MOST_READERS = 20_000, 4096, 20_000
 CACHE_PIECES = 400_000
+#: Longer pieces are not remembered; texts are encoded by so many bytes at a time; longer ones are cut in Python.
+LONGEST_PIECE, GROUP_BYTES, LONGEST_EVEN = 64, 8 << 20, 256 << 20
 #: White space and what follows it up to the next; signs that count as white space here but not to all libraries.
 PIECES, OUTSIDE = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
+#: Texts with runs of white space, with it at an end, or with other than spaces and line ends; a sign that no other text has.
+UNEVEN = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CUT = "\x1f"
 
 
 def _byte_letters() -> list[str]:
@@ -62,7 +71,46 @@ def _byte_letters() -> list[str]:
 BYTE_LETTERS = _byte_letters()
 _LETTERS, _SIGNS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-/:-@\[-`{-~]+"
 #: A line end, a word of Latin letters and ASCII signs: the parts that the pre-tokenizer sees in most pieces.
-SIMPLE = re.compile(f"(\n?)(?:( ?{_LETTERS})({_SIGNS})?|( ?{_SIGNS}))")
+SIMPLE = rf"\A(?P<line>\n?)(?:(?P<word> ?{_LETTERS})(?P<signs>{_SIGNS})?|(?P<alone> ?{_SIGNS}))\z"
+
+
+def _runs(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[start : start + length] of each pair, one behind the other."""
+    end = np.cumsum(length)
+    at = np.repeat((start - end + length).astype(np.int32), length)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
+
+
+class Known:
+    """Strings and their ids, kept as arrays: at most `CACHE_PIECES` of at most `LONGEST_PIECE` bytes."""
+
+    def __init__(self, kind: np.dtype):
+        self.strings = pa.array([], pa.string())
+        self.flat, self.start, self.length = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, strings: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where in it those of each of these different strings start and how many they are."""
+        at = pc.index_in(strings, value_set=self.strings)
+        new = np.asarray(at.is_null())
+        at = np.array(at.fill_null(0), np.int64)
+        at[new] = len(self.strings) + np.arange(new.sum())
+        fresh = strings.filter(pa.array(new))
+        ids, n = encode(fresh)
+        flat = np.concatenate([self.flat, ids])
+        start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        length = np.concatenate([self.length, n])
+        if len(start) > CACHE_PIECES:
+            # what these texts have is likelier to come again than what only others had
+            self._keep(strings.slice(0, CACHE_PIECES), flat, start[at[:CACHE_PIECES]], length[at[:CACHE_PIECES]])
+        else:
+            self._keep(pa.concat_arrays([self.strings, fresh]), flat, start, length)
+        return flat, start[at], length[at]
+
+    def _keep(self, strings: pa.Array, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        short = np.asarray(pc.less_equal(pc.binary_length(strings), LONGEST_PIECE))
+        self.strings, self.length = strings.filter(pa.array(short)), length[short]
+        self.flat, self.start = _runs(flat, start[short], self.length), np.cumsum(self.length) - self.length
 
 
 class Encoder:
@@ -73,83 +121,96 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.width = array(self.code).itemsize
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         #: Whether pieces may be encoded apart: byte level words cut by the usual rule, from the text as it stands.
         said = json.loads(self.tokenizer.to_str())
         cutter = said["pre_tokenizer"] or {}
         self.apart = said["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter["add_prefix_space"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of what follows a space, of whole pieces, and of the pre-tokenizer's words.
-        self.spaced: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: Ids of pieces, and of the pre-tokenizer's words.
+        self.pieces, self.words = Known(self.kind), Known(self.kind)
         self.end = self._packed([END_ID])
 
     def _packed(self, ids: list[int]) -> bytes:
-        out = array(self.code, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        return np.array(ids, self.kind).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        if (found := self.words.get(word)) is None:
-            letters = "".join([BYTE_LETTERS[b] for b in word.encode()])
-            found = self.words[word] = self._packed([t.id for t in self.model.tokenize(letters)])
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        parts = SIMPLE.fullmatch(piece)
-        if parts is None:
-            return self.whole(piece)
-        return b"".join([self._word(p) for p in parts.groups() if p])
-
-    def _odd(self, text: str) -> bytes:
-        """Of a text with runs of white space, or with other than spaces and line ends."""
-        if not self.apart or OUTSIDE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        out = []
-        for piece in PIECES.findall(text):
-            if (found := self.pieces.get(piece)) is None:
-                found = self.pieces[piece] = self._piece(piece)
-            out.append(found)
-        return b"".join(out)
-
-    def _even(self, text: str) -> list[str] | None:
-        """What stands between single spaces, line ends with what follows them; None for other texts."""
-        if not self.apart or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(s in text for s in self.special):
-            return None
-        # white space of any other kind would make for more words than there are spaces and line ends
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, with the end id."""
-        for cache in (self.spaced, self.pieces, self.words):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-        cut_up = [self._even(t) if t else [] for t in texts]
-        firsts = [pieces.pop(0) if pieces else None for pieces in cut_up]
-        spaced = self.spaced
-        for p in set().union(*[x for x in cut_up if x]).difference(spaced):
-            spaced[p] = self._piece(p if p[:1] == "\n" else " " + p)
-        known = spaced.__getitem__
-        out = []
-        for text, first, pieces in zip(texts, firsts, cut_up):
-            if not text:
-                out.append(self.end)
-            elif pieces is None:
-                out.append(self._odd(text) + self.end)
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokenizer's words, and how many each has."""
+        tokenize, ids, n = self.model.tokenize, array("I"), array("q")
+        for word in words.to_pylist():
+            found = [t.id for t in tokenize("".join([BYTE_LETTERS[b] for b in word.encode()]))] if word else []
+            ids.extend(found)
+            n.append(len(found))
+        return np.array(ids, self.kind), np.array(n, np.int64)
+
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has: word by word, or by the whole tokenizer."""
+        parts = pc.extract_regex(pieces, SIMPLE)
+        other = np.asarray(parts.is_null())
+        n = len(pieces)
+        words = pa.concat_arrays([pc.fill_null(pc.struct_field(parts, i), "") for i in range(4)]).dictionary_encode()
+        flat, start, length = self.words.find(words.dictionary, self._of_words)
+        at = np.asarray(words.indices)
+        start, length = (x[at].reshape(4, n).T.copy() for x in (start, length))
+        wholes = [np.frombuffer(self.whole(p), self.kind) for p in pieces.filter(pa.array(other)).to_pylist()]
+        sizes = np.array([len(w) for w in wholes], np.int64)
+        start[other, 0], length[other, 0] = len(flat) + np.cumsum(sizes) - sizes, sizes
+        return _runs(np.concatenate([flat, *wholes]), start.ravel(), length.ravel()), length.sum(axis=1)
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        uneven = pc.or_(pc.match_substring_regex(texts, UNEVEN), pc.greater(pc.binary_length(texts), LONGEST_EVEN))
+        for sign in self.special:
+            uneven = pc.or_(uneven, pc.match_substring(texts, sign))
+        even = pc.if_else(uneven, "", texts)
+        even = pc.split_pattern(pc.replace_substring(pc.replace_substring(even, " ", CUT + " "), "\n", CUT + "\n"), CUT)
+        bounds = np.asarray(even.offsets)
+        first, last = bounds[:-1].copy(), bounds[1:].copy()
+        others, wholes = [], {}
+        for i in np.flatnonzero(np.asarray(uneven)).tolist():
+            text = texts[i].as_py()
+            if OUTSIDE.search(text) or any(s in text for s in self.special):
+                wholes[i] = self.whole(text)
             else:
-                out.append(self._piece(first) + b"".join(map(known, pieces)) + self.end)
+                first[i] = bounds[-1] + len(others)
+                others += PIECES.findall(text)
+                last[i] = bounds[-1] + len(others)
+        pieces = pa.concat_arrays([even.flatten(), pa.array(others, pa.string())]).dictionary_encode()
+        flat, start, length = self.pieces.find(pieces.dictionary, self._of_pieces)
+        at = np.asarray(pieces.indices)
+        length = length[at]
+        data = memoryview(_runs(flat, start[at], length).tobytes())
+        byte = np.r_[0, np.cumsum(length)] * self.width
+        return [b"".join((wholes.get(i, data[a:b]), self.end)) for i, (a, b) in enumerate(zip(byte[first].tolist(), byte[last].tolist()))]
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text, with the end id."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        texts = texts.fill_null("")
+        if not self.apart:
+            return [self.whole(t) + self.end for t in texts.to_pylist()]
+        size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            at = len(out)
+            until = np.searchsorted(size, (size[at - 1] if at else 0) + GROUP_BYTES, "right")
+            out += self._group(texts.slice(at, max(1, int(until) - at)))
         return out
 
 
+@functools.lru_cache(1)
+def _loaded(path: str, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this process, with what it remembers from the tasks before."""
+    return _loaded(path, os.stat(path).st_mtime_ns)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary from the ids of a sample of at most `SAMPLE_DOCS` documents, `SAMPLE_BYTES` of each.
 
@@ -242,7 +303,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
     sha = hashlib.sha256(dictionary).digest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_words(shared.value), write_content_size=True)
         for batch in batches:
             ids, tie = batch.column(0), batch.column(1).to_numpy()
@@ -256,7 +317,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, dictionary:
                 place = np.where(known, place, (tie & 0x7FFFFFFFFFFFFFFF) % before_all)
             order = np.where(span > 1, place, 0)
             packed, count = [], []
-            for data in encoder(batch.column(2).to_pylist()):
+            for data in encoder(batch.column(2)):
                 count.append(len(data) // encoder.width)
                 packed.append(pack.compress(data))
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), ids, pa.array(order, pa.int64()), batch.column(1), pa.array(count, pa.int64()), pa.array(packed, pa.binary())], names=["place", "doc_id", "dealt", "tie", "n", "blob"])

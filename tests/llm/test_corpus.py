@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,41 @@ def test_encoder_gives_the_tokenizers_ids():
     assert encoder([None, ""]) == [encoder.end] * 2
 
 
+@pytest.mark.parametrize("most,group", [(400_000, 8 << 20), (40, 500), (3, 1)])
+def test_encoder_with_little_room(monkeypatch, most, group):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", most)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", group)
+    encoder = tokens.Encoder(tokenizer_path())
+    random.seed(5)
+    bits = ["one", "Two", "é", "÷", "it's", "(a)", "7", "中文", "\x00", "\x1f", "\u3000", "\x85", "\t", "\n", "", "<|endoftext|>", "x" * 70, "\u200b"]
+    texts = [random.choice(" \n").join(random.choices(bits, k=random.randint(0, 9))) for _ in range(400)] + [None]
+    for given in (texts, pa.array(texts), pa.array(texts, pa.large_string()).slice(7)):
+        assert encoder(given) == [encoder.whole(t or "") + encoder.end for t in (given if isinstance(given, list) else given.to_pylist())]
+    for known in (encoder.pieces, encoder.words):
+        assert len(known.strings) == len(known.start) == len(known.length) <= most
+        assert all(len(s.encode()) <= tokens.LONGEST_PIECE for s in known.strings.to_pylist())
+
+
+def test_a_worker_encodes_each_word_once():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.seen = model, Counter()
+
+        def tokenize(self, word):
+            self.seen[word] += 1
+            return self.model.tokenize(word)
+
+    tokens._loaded.cache_clear()
+    first = tokens.worker_encoder(tokenizer_path())
+    first.model = Counting(first.model)
+    texts = [f"word{chr(97 + k % 26)} and, words\nand more" for k in range(200)]
+    # of two tasks, the second finds what the first has met
+    ids = first(texts[:120])
+    assert ids + tokens.worker_encoder(tokenizer_path())(texts[120:]) == [first.whole(t) + first.end for t in texts]
+    assert first.model.seen["Ġand"] == 1 and set(first.model.seen.values()) == {1}
+    tokens._loaded.cache_clear()
+
+
 def check_tokens(rows, docs):
     """Rows follow ascending doc_id and hold the tokenizer's ids of every document."""
     from tokenizers import Tokenizer
