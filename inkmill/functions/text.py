@@ -23,7 +23,8 @@ MODEL_WINDOW, MODEL_VOCABULARY, ITEMS_PER_FILE = 1024, 13312, 200_000
 #: White space as Unicode has it, with the four separators that count as such in Python.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-TOKEN = r"(\p{L}+|[0-9]|[^\s\p{L}0-9])"
+#: White space of SQL's patterns, which a vertical tab is not; Java's has it.
+TOKEN = r"(\p{L}+|[0-9]|[^ \t\n\f\r\p{L}0-9])"
 
 
 def as_column(x: Column | str) -> Column:
@@ -110,8 +111,10 @@ def isolate(x: Column | str) -> Column:
 
 
 def tokens(x: Column | str) -> Column:
-    """Words of letters, single digits and single signs of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(as_column(x)), F.lit(TOKEN), 1)
+    """Words of letters, single digits and single signs of the text, lower-cased letter by letter."""
+    # the two capitals that Java lowers to two characters, or by what stands around them
+    x = F.replace(F.replace(as_column(x), F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ"))
+    return F.regexp_extract_all(F.lower(x), F.lit(TOKEN), 1)
 
 
 def tokens_with_lines(x: Column | str) -> Column:

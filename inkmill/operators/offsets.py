@@ -31,16 +31,17 @@ def _bounds(df: DataFrame, key: str, rows: int) -> tuple[list[int], int]:
     return sorted(df.agg(F.percentile_approx(key, shares, 10 * many)).first()[0]), nulls
 
 
-def _range(key: str, bounds: list[int]) -> Column:
-    """The number of bounds below a key, found by halving; -1 without a key."""
+def _range(key: str, bounds: list[int], last: bool = False) -> Column:
+    """The number of bounds below a key, found by halving; without a key -1, or one more than any (last)."""
     bounds = sorted(set(bounds))
+    none = len(bounds) + 1 if last else -1
     if not bounds:
-        return F.when(F.col(key).isNull(), -1).otherwise(0).cast("long")
+        return F.when(F.col(key).isNull(), none).otherwise(0).cast("long")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     # filled up, so that every step has a bound to look at
     known = F.from_json(F.lit(str(bounds + [(1 << 63) - 1] * (2 * steps[0] - 1 - len(bounds)))), "array<bigint>")
     found = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: at + F.when(F.element_at(known, at + step) < F.col(key), step).otherwise(F.lit(0)))
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(found).cast("long")
+    return F.when(F.col(key).isNull(), F.lit(none)).otherwise(found).cast("long")
 
 
 def ranges(df: DataFrame, key: str, rows: int = ROWS_IN_RANGE) -> Column:
@@ -57,13 +58,13 @@ def _hash(df: DataFrame, salt: int) -> Column:
     return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema], F.lit(salt))
 
 
-def _dealt(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, bool]:
+def _dealt(df: DataFrame, key: str, rows: int, last: bool = False) -> tuple[DataFrame, bool]:
     """(df with `_range` and `_tie`, the order within it, whether equal rows of crowded keys are one with `_copies`)."""
     bounds, nulls = _bounds(df, key, rows)
     times = Counter(bounds)
     crowded = [b for b, n in times.items() if n > 1]
     parts = max([n + 1 for n in times.values()] + [min(MOST_RANGES, -(-nulls // rows))])
-    tied = df.withColumns({"_tie": _hash(df, 0), "_range": _range(key, bounds) * PARTS})
+    tied = df.withColumns({"_tie": _hash(df, 0), "_range": _range(key, bounds, last) * PARTS})
     if not crowded and nulls <= rows:
         return tied, False
     hot = F.coalesce(F.col(key).isin(crowded), F.lit(nulls > rows))
@@ -74,10 +75,13 @@ def _dealt(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, bool]:
     return tied.where(~hot).withColumn("_copies", F.lit(1).cast("long")).unionByName(few), True
 
 
-def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE, total: str = "_total") -> DataFrame:
-    """df with `out`: the sum of value over earlier rows in the order of key, and `total`: that over all, within each group of `by`."""
+def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE, total: str = "_total", last: bool = False) -> DataFrame:
+    """df with `out`: the sum of value over earlier rows in the order of key, and `total`: that over all, within each group of `by`.
+
+    Rows without a key come first, or last.
+    """
     by = list(by)
-    dealt, copies = _dealt(df, key, rows)
+    dealt, copies = _dealt(df, key, rows, last)
     worth = F.col(value) * F.col("_copies") if copies else F.col(value)
     heads = dealt.groupBy(*by, "_range").agg(F.sum(worth).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +103,6 @@ def running(df: DataFrame, key: str, value: str, out: str, by: Sequence[str] = (
     return met.drop("_range", "_head", "_own", "_tie", "_copies", "_copy")
 
 
-def numbered(df: DataFrame, key: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE) -> DataFrame:
-    """df with `out`: the number of earlier rows in the order of key."""
-    return running(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", out, by, rows).drop("_one", "_total")
+def numbered(df: DataFrame, key: str, out: str, by: Sequence[str] = (), rows: int = ROWS_IN_RANGE, last: bool = False) -> DataFrame:
+    """df with `out`: the number of earlier rows in the order of key; rows without one come first, or last."""
+    return running(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", out, by, rows, last=last).drop("_one", "_total")

@@ -76,7 +76,7 @@ def windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int | None =
         return _sparse_windows(docs, key, tokens, n, stride, by)
     by = list(by)
     # tokens go along to their range, so they are shuffled once
-    met = running(sized(docs, [*by, key], tokens), key, "len", "at", by, ROWS_IN_RANGE, "total")
+    met = running(sized(docs, [*by, key], tokens), key, "len", "at", by, ROWS_IN_RANGE, "total", last=True)
     first = F.greatest(F.floor((F.col("at") - n) / stride) + 1, F.lit(0))
     last = F.least(F.floor((F.col("at") + F.col("len") - 1) / stride), F.floor((F.col("total") - n) / stride))
 
@@ -184,7 +184,7 @@ def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int,
     """Windows further apart than they are long: each start depends on the one before and on where documents end."""
     if by:
         raise ValueError("strides beyond the window length are for one stream")
-    met = running(sized(docs, [key], tokens), key, "len", "at", rows=rows).where("len > 0")
+    met = running(sized(docs, [key], tokens), key, "len", "at", rows=rows, last=True).where("len > 0")
     begun = _begun(met.select("at", "len"), n, stride, rows)
     # windows and documents meet in cells of n tokens; either touches few cells
     cells = begun.select("w", "start", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + n - 1) / n))).alias("cell"))

@@ -38,8 +38,8 @@ def repaired(ids: Column | str, pinyin: Column | str) -> Column:
 
 
 def batched(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with `batch`, by their order."""
-    return numbered(rows, key, "_at", rows=WIDE_ROWS).withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
+    """rows with `batch`, by their order; those without a key come last, as in SQL."""
+    return numbered(rows, key, "_at", rows=WIDE_ROWS, last=True).withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
 
 
 def padded_batches(rows: DataFrame, key: str, size: int, columns: Sequence[str], labels: str | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def padded_batches(rows: DataFrame, key: str, size: int, columns: Sequence[str],
 
 def with_files(rows: DataFrame, key: str, items: int = ITEMS_PER_FILE, end: str = ".tfrecord.gz", dense: bool = False) -> DataFrame:
     """rows with `shard` and `file` by the place among the rows written; dense: key is that place, as of windows of one stream."""
-    placed = rows.withColumn("_at", F.col(key)) if dense else numbered(rows, key, "_at", rows=WIDE_ROWS)
+    placed = rows.withColumn("_at", F.col(key)) if dense else numbered(rows, key, "_at", rows=WIDE_ROWS, last=True)
     out = placed.withColumn("shard", F.floor(F.col("_at") / items)).drop("_at")
     return out.withColumn("file", numbered_name(F.col("shard"), 8, end))
 
@@ -67,7 +67,7 @@ def with_input_files(rows: DataFrame, key: str, split: str, items: int = ITEMS_P
     n = rows.count()
     files = -(-n // items)
     width = len(str(files))
-    out = numbered(rows, key, "_at", rows=WIDE_ROWS)
+    out = numbered(rows, key, "_at", rows=WIDE_ROWS, last=True)
     return out.withColumn("file", F.concat(F.lit(f"{split}-"), numbered_name(F.floor(F.col("_at") / items), width), F.lit(f"-of-{files}"))).drop("_at")
 
 
@@ -105,6 +105,6 @@ def regrouped_in_chunks(rows: DataFrame, keys: Sequence[str], order: str, labels
 
     Places within a group come from running totals over ranges, so no task holds more of one than a range or a chunk.
     """
-    placed = numbered(rows.select(*keys, order, labels), order, "_at", keys)
+    placed = numbered(rows.select(*keys, order, labels), order, "_at", keys, last=True)
     chunks = placed.withColumn("chunk", F.floor(F.col("_at") / size)).groupBy(*keys, "chunk").agg(F.min(order).alias("first"), F.sort_array(F.collect_list(F.struct("_at", F.col(labels).alias("_label")))).alias("_all"))
     return chunks.select(*keys, "chunk", "first", F.col("_all._label").alias(labels))

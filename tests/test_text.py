@@ -37,6 +37,10 @@ def test_tokens(spark):
     assert values(spark, ["Élève Ñandú", "Việt ά й Ạ", None], T.normalised("x")) == ["eleve nandu", "viet α и a", None]
 
 
+def test_tokens_are_lowered_letter_by_letter(spark):
+    assert values(spark, ["Aİb ΟΔΟΣ", "a\x0bb\r\n\f\t c", None], T.tokens("x")) == [["aib", "οδοσ"], ["a", "\x0b", "b", "c"], None]
+
+
 def test_decoding_against_a_loop(spark):
     random.seed(3)
     rows = [[random.choice(["中", "a", "B", "##c", "1", ",", "##中"]) for _ in range(random.randint(1, 9))] for _ in range(60)]
