@@ -65,18 +65,19 @@ def check(n: int, stride: int) -> None:
         raise ValueError("window length and stride must be positive")
 
 
-def windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int | None = None, by: Sequence[str] = (), last: bool = False) -> DataFrame:
     """by.., w, tokens: each full window of n tokens, `stride` apart, over documents in the order of key.
 
     The stream of each group in `by` stands for itself. A short rest at the end makes no window.
+    Documents without a key come first, as rests of a stream do, or last.
     """
     stride = stride or max(1, n // 2)
     check(n, stride)
     if stride > n:
-        return _sparse_windows(docs, key, tokens, n, stride, by)
+        return _sparse_windows(docs, key, tokens, n, stride, by, last=last)
     by = list(by)
     # tokens go along to their range, so they are shuffled once
-    met = running(sized(docs, [*by, key], tokens), key, "len", "at", by, ROWS_IN_RANGE, "total", last=True)
+    met = running(sized(docs, [*by, key], tokens), key, "len", "at", by, ROWS_IN_RANGE, "total", last=last)
     first = F.greatest(F.floor((F.col("at") - n) / stride) + 1, F.lit(0))
     last = F.least(F.floor((F.col("at") + F.col("len") - 1) / stride), F.floor((F.col("total") - n) / stride))
 
@@ -180,11 +181,11 @@ def _begun(placed: DataFrame, n: int, stride: int, rows: int) -> DataFrame:
     return ordered.mapInArrow(follow, "w long, start long")
 
 
-def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int, by: Sequence[str], rows: int = ROWS_IN_RANGE) -> DataFrame:
+def _sparse_windows(docs: DataFrame, key: str, tokens: str, n: int, stride: int, by: Sequence[str], rows: int = ROWS_IN_RANGE, last: bool = False) -> DataFrame:
     """Windows further apart than they are long: each start depends on the one before and on where documents end."""
     if by:
         raise ValueError("strides beyond the window length are for one stream")
-    met = running(sized(docs, [key], tokens), key, "len", "at", rows=rows, last=True).where("len > 0")
+    met = running(sized(docs, [key], tokens), key, "len", "at", rows=rows, last=last).where("len > 0")
     begun = _begun(met.select("at", "len"), n, stride, rows)
     # windows and documents meet in cells of n tokens; either touches few cells
     cells = begun.select("w", "start", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + n - 1) / n))).alias("cell"))
